@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergelake.llm.common import documents
 
@@ -15,15 +16,55 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(documents(spark, sf_dir), digest=True)
+
+
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.sharding import minimax_shards
+
+    return minimax_shards(documents(spark, sf_dir), 16)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergelake.llm.token_counts import token_counts
 
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL
+
+
+ORACLE_SQL = {
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op9_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+        keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+        common AS (SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20
+                   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT k.doc_id, k.place, k.line, coalesce(c.holder <> k.doc_id, false) AS gone
+                   FROM keyed k LEFT JOIN common c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
