@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelake.llm.common import documents
+from mergelake.llm.common import documents, table
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.quality import fit_quality, score_quality
+
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergelake.llm.exact_dedup import exact_dedup
 
