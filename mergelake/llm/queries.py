@@ -29,6 +29,12 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.sstable import read_shards, write_shards
+
+    return read_shards(spark, write_shards(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergelake.llm.exact_dedup import exact_dedup
 
