@@ -47,6 +47,12 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(documents(spark, sf_dir), 16)
 
 
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.fingerprints import fingerprint_with_edits
+
+    return fingerprint_with_edits(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergelake.llm.token_counts import token_counts
 
