@@ -65,6 +65,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.pieces import encode_and_decode
+
+    return encode_and_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
