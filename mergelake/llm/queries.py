@@ -29,6 +29,12 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergelake.llm.ngram_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergelake.llm.sstable import read_shards, write_shards
 
