@@ -62,8 +62,8 @@ class LineRuns:
         return self._merged(self.runs())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_text.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_text, and the columns of docs named in `carry`.
 
     Lines whose key has min_chars code points and is held by min_docs documents stay only in the largest doc_id that
     holds it. Keys are compared by 128-bit hash. Three things are shuffled: a hash once for each document that holds it
@@ -73,10 +73,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     A null or empty text is one empty line. A null doc_id holds lines like any other but is never the largest; rows that
     repeat a doc_id are one document when holders are counted by their own lines, each row counting once, and all of them
     keep what their doc_id holds. A document may lose all its lines; its kept_text is then empty. An empty table gives an
-    empty result; columns besides doc_id and text aren't read.
+    empty result; other columns aren't read unless carried.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    whole = docs.select("doc_id", text_or_empty().alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
+    docs = whole.select("doc_id", "text")
     lines = F.split("text", "\n", -1)
     bounds = [] if batches < 2 else (docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or [])
     batch = sum(((F.col("doc_id") <= F.lit(b)).cast("int") for b in bounds), F.lit(0))
@@ -96,11 +97,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     dropped = each.join(met, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
     dropped = dropped.groupBy("doc_id", "of_text").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
 
-    joined = docs.join(dropped.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left").withColumn("lines", lines)
+    joined = whole.join(dropped.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left").withColumn("lines", lines)
     total = F.size("lines")
     gone = F.coalesce(F.col("dropped"), F.array().cast("array<int>"))
     # What lies between dropped positions stays; slices, so a text of many lines takes linear time.
     spans = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(total)), lambda a, b: F.struct((a + 2).alias("from"), (b - a - 1).alias("n")))
     kept = F.flatten(F.transform(spans, lambda s: F.slice("lines", s["from"], s["n"])))
     kept_text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select("doc_id", total.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept_text.alias("kept_text"))
+    return joined.select("doc_id", total.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept_text.alias("kept_text"), *(F.col("carried")[c].alias(c) for c in carry))

@@ -238,8 +238,8 @@ def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndar
     return np.asarray(rows["token"]).astype(np.uint32), np.asarray(rows["holders"])
 
 
-def _without(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
-    """Rows of docs whose doc_id is (keep) or is not among ids; these are broadcast if few."""
+def without_ids(docs: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
+    """Rows of docs whose doc_id is not (keep: is) among ids; these are broadcast if few."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return docs.join(ids, "doc_id", "left_semi" if keep else "left_anti")
 
@@ -328,7 +328,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 good.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    whole = _without(docs.select("doc_id", "text"), needed, True).mapInArrow(sets, "doc_id long, tokens binary")
+    whole = without_ids(docs.select("doc_id", "text"), needed, True).mapInArrow(sets, "doc_id long, tokens binary")
     whole = staged(whole, "needed-sets")
     one, other = (whole.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     return staged(pairs.join(one, "a").join(other, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(linked, "a long, b long"), "links")
@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     members = staged(members.unionByName(sets.filter("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("first"))), "members")
     leads = groups.filter("first IS NOT NULL").select(F.col("first").alias("doc_id")).distinct()
     copies = members.filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id <> first)").select("doc_id").distinct().join(leads, "doc_id", "left_anti")
-    firsts = _without(docs.filter("doc_id IS NOT NULL"), staged(copies, "copies"), False)
+    firsts = without_ids(docs.filter("doc_id IS NOT NULL"), staged(copies, "copies"))
 
     singles, several = index_rows(firsts, Prefixes(*heavy, percent), width, classes)
     # Tokens of this many holders are frequent, unless MOST_FREQUENT was reached; longer lists then go the way of combinations.

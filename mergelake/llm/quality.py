@@ -110,6 +110,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> M
     return Model(model.good, model.bad, *_logistic(x, y, weight))
 
 
+def _scores(texts: pa.Array, model: Model, differences: Differences | None) -> np.ndarray:
+    data, offsets, _ = text_bytes(texts)
+    x = np.zeros(len(texts))
+    if differences and len(data):
+        whole = memoryview(data)
+        x = np.asarray([differences.of(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
+    return 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -60, 60)))
+
+
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from its whole text alone; one pass, no shuffle.
 
@@ -121,13 +130,21 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches):
         differences = Differences(model) if model.good else None
         for batch in balanced(batches):
-            data, offsets, _ = text_bytes(batch.column(1))
-            x = np.zeros(batch.num_rows)
-            if differences and len(data):
-                whole = memoryview(data)
-                x = np.asarray([differences.of(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
-            score = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -60, 60)))
+            score = _scores(batch.column(1), model, differences)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least `threshold`; one pass, no shuffle. Edge cases as in score_quality."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        differences = Differences(model) if model.good else None
+        for batch in balanced(batches):
+            yield batch.filter(pa.array(_scores(batch.column(at), model, differences) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
