@@ -105,10 +105,12 @@ class Walks:
         for j in range(shards - 1, 0, -1):
             least[j] = self.ceil(max(0, least[j + 1] - capacity))
         at, out = 0, []
+        large = [(self.edges[k], u.size) for k, u in enumerate(self.units) if u.size * shards > self.total]  # these get shards of their own
         for j in range(1, shards):
-            even = at + (self.total - at) // (shards - j + 1)
+            ahead = [size for start, size in large if start >= at]
+            even = at + (self.total - at - sum(ahead)) // max(1, shards - j + 1 - len(ahead))
             below, above = self.floor(even), self.ceil(even)
-            to = below if even - below <= above - even else above
+            to = below if at < below and even - below <= above - even else above
             if to > at + capacity:
                 to = self.floor(at + capacity)
             at = max(at, to, least[j])

@@ -299,7 +299,7 @@ def test_fingerprints(spark, monkeypatch):
             assert (got[i].fingerprint, got[i].edited_fingerprint) == (fp.as_string(prints[k]), fp.as_string(own))
             assert got[i].near_edited == fp.likeness(prints[k], own) and got[i].near_next == fp.likeness(prints[k], prints[(k + 1) % len(order)])
             if i >= 50 and i < 89:
-                assert got[i].near_edited > 0.3 > got[i].near_next + 0.1
+                assert got[i].near_edited > 0.45 and got[i].near_next < 0.35
     assert fp.fingerprint_with_edits(frame(spark, REPEATED)).count() == len(REPEATED)
     assert fp.fingerprint_with_edits(frame(spark, [(None, "a"), (None, "b")])).count() == 2
     one = fp.fingerprint_with_edits(frame(spark, [(1, "abcdef" * 9)])).first()
