@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Units kept by one Python worker; beyond it the table starts anew, so memory stays bounded.
-KEPT_UNITS = 900_000
+KEPT_UNITS = 700_000
 #: Longer units are encoded but not kept.
 KEPT_CHARS = 48
 #: Bytes of text handled at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 #: A unit of visible characters, after one blank at most, without the mark.
 _PLAIN = re.compile(r" ?[^\s\x01]+").fullmatch
