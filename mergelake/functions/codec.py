@@ -36,7 +36,7 @@ def encode_value(c: Column | str, kind: T.DataType) -> Column:
         text = c.cast("int").cast("string")
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         finite = ~F.isnan(c) & (F.abs(c) < float("inf"))
-        text = F.when(finite, F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)).otherwise("0")
+        text = F.when(finite, F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)).when(c.isNotNull(), "0")
     elif isinstance(kind, (T.IntegralType, T.DecimalType)):
         text = c.cast("string")
     elif isinstance(kind, T.StringType):
@@ -48,7 +48,8 @@ def encode_value(c: Column | str, kind: T.DataType) -> Column:
 
 def blob_of(text: Column) -> Column:
     """Bytes of a JSON text that is exactly one tagged object; null otherwise."""
-    return decode_hex(F.regexp_extract(text, r'^\s*\{\s*"\$blob_hex"\s*:\s*"([0-9a-f]*)"\s*\}\s*$', 1))
+    pattern = r'^\s*\{\s*"\$blob_hex"\s*:\s*"((?:[0-9a-f]{2})*)"\s*\}\s*$'
+    return F.when(text.rlike(pattern), F.unhex(F.regexp_extract(text, pattern, 1)))
 
 
 def is_blob(text: Column) -> Column:
@@ -103,7 +104,7 @@ def canonical_pk(text: Column, columns: list[tuple[str, T.DataType]]) -> Column:
     return F.get(F.transform(F.filter(F.array(_key_texts(text, columns)), lambda t: t.isNotNull()), joined), 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sorted_json(texts: pd.Series) -> pd.Series:
     def one(t):
         try:

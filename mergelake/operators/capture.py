@@ -22,6 +22,19 @@ def _map(entries: list[tuple[str, Column]]) -> Column:
     return F.create_map(*[x for name, v in entries for x in (F.lit(name), v)]) if entries else F.expr("cast(map() as map<string,string>)")
 
 
+def names_where(flags: dict[str, Column]) -> Column:
+    """Names whose flag is true, as an array."""
+    if not flags:
+        return F.array().cast("array<string>")
+    return F.array_except(F.array(*[F.when(x, F.lit(c)) for c, x in flags.items()]), F.array(F.lit(None).cast("string")))
+
+
+def restamped(clocks: Column, names: Column, hlc: str | None) -> Column:
+    """The map of clocks with the named columns at `hlc`."""
+    kept = F.map_filter(F.coalesce(clocks, _empty_map()), lambda k, _: ~F.array_contains(names, k))
+    return F.map_concat(kept, F.map_from_arrays(names, F.array_repeat(F.lit(hlc), F.size(names))))
+
+
 def _empty_map() -> Column:
     return F.expr("cast(map() as map<string,string>)")
 
@@ -76,10 +89,7 @@ def capture(old: DataFrame, new: DataFrame, spec: TableSpec, hlc: str, touched:
     """
     both = diff(old, new, spec)
     changes = changed_columns(spec)
-    stamped_map = F.map_concat(
-        F.map_filter(F.coalesce(F.col(f"o.{COLUMN_HLCS}"), _empty_map()), lambda k, _: ~F.coalesce(_map([(c, x) for c, x in changes.items()])[k], F.lit(False))) if changes else F.coalesce(F.col(f"o.{COLUMN_HLCS}"), _empty_map()),
-        F.map_from_entries(F.filter(F.array(*[F.when(x, F.struct(F.lit(c).alias("key"), F.lit(hlc).alias("value"))) for c, x in changes.items()]), lambda e: e.isNotNull())) if changes else _empty_map(),
-    )
+    stamped_map = restamped(F.col(f"o.{COLUMN_HLCS}"), names_where(changes), hlc)
     moved = (F.col("kind") == "update") | (F.lit(touched) & (F.col("kind") == "same"))
     row_hlc = F.when((F.col("kind") == "insert") | moved, F.lit(hlc)).otherwise(F.col(f"o.{ROW_HLC}"))
     clocks = F.when(F.col("kind") == "insert", _map([(c, F.lit(hlc)) for c in spec.tracked])).when(moved, stamped_map).otherwise(F.col(f"o.{COLUMN_HLCS}"))
@@ -112,11 +122,7 @@ def update_rows(state: DataFrame, spec: TableSpec, condition: Column, assign: di
     if not spec.synced:
         return state.withColumns(new), hit
     changes = {c: hit & ~F.col(f"`{c}`").eqNullSafe(v.cast(spec.kind(c))) for c, v in assign.items() if c in spec.tracked}
-    clocks = F.coalesce(F.col(COLUMN_HLCS), _empty_map())
-    if changes:
-        entries = F.filter(F.array(*[F.when(x, F.struct(F.lit(c).alias("key"), F.lit(hlc).alias("value"))) for c, x in changes.items()]), lambda e: e.isNotNull())
-        fresh = F.map_from_entries(entries)
-        clocks = F.map_concat(F.map_filter(clocks, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
+    clocks = restamped(F.col(COLUMN_HLCS), names_where(changes), hlc)
     out = state.withColumns({**new, ROW_HLC: F.when(hit, F.lit(hlc)).otherwise(F.col(ROW_HLC)), COLUMN_HLCS: F.when(hit, clocks).otherwise(F.col(COLUMN_HLCS))})
     return out.select(*state.columns), reduce(lambda x, y: x | y, changes.values(), F.lit(False))
 

@@ -46,6 +46,19 @@ def normalize_table_name(name: str) -> str:
     return re.split(r"\.", name)[-1].strip("\"'`[] ").lower()
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType()}
+
+
+def parse_schema(schema: T.StructType | str) -> T.StructType:
+    """`name type, ...` of plain types without a session; other types by Spark's parser, which needs one."""
+    if not isinstance(schema, str):
+        return schema
+    fields = [f.split() for f in schema.split(",")]
+    if all(len(f) == 2 and f[1].lower() in _KINDS for f in fields):
+        return T.StructType([T.StructField(n, _KINDS[kind.lower()]) for n, kind in fields])
+    return T._parse_datatype_string(schema)
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """A table's declared columns in order (without metadata) and its key columns.
@@ -66,7 +79,7 @@ class TableSpec:
     def of(name: str, schema: T.StructType | str, pks: list[str] | tuple[str, ...], **more) -> TableSpec:
         if not is_safe_identifier(name):
             raise ValidationError(f"invalid table name {name!r}")
-        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        schema = parse_schema(schema)
         columns = tuple(f for f in schema.fields if f.name not in METADATA)
         for c in columns:
             if not is_safe_identifier(c.name):

@@ -35,6 +35,7 @@ from mergelake.operators.schema import (
     ValidationError,
     has_metadata,
     is_safe_identifier,
+    parse_schema,
     violating_tables,
 )
 from mergelake.plans.clock import Clock, ClockError, parse
@@ -189,22 +190,21 @@ class Transaction:
         from mergelake.functions.codec import encode_value, pk_json, preimage
         from mergelake.operators.schema import COLUMN_HLCS, COLUMN_SIGS
 
-        own = []
-        for c in spec.tracked:
-            data = preimage(F.lit(spec.name), pk_json(spec.keys), F.lit(c), F.lit(self.hlc), encode_value(F.col(f"`{c}`"), spec.kind(c)))
-            own.append(F.when(F.col(COLUMN_HLCS)[c] == self.hlc, F.struct(F.lit(c).alias("key"), provider.sign(data).alias("value"))))
-        fresh = F.map_from_entries(F.filter(F.array(*own), lambda e: e.isNotNull())) if own else F.expr("cast(map() as map<string,string>)")
-        return rows.withColumn(COLUMN_SIGS, F.map_concat(F.map_filter(F.coalesce(F.col(COLUMN_SIGS), F.expr("cast(map() as map<string,string>)")), lambda k, _: ~F.map_contains_key(fresh, k)), fresh))
+        if not spec.tracked:
+            return rows
+        stamped = {c: F.coalesce(F.col(COLUMN_HLCS)[c] == self.hlc, F.lit(False)) for c in spec.tracked}
+        names = cap.names_where(stamped)
+        signed = [provider.sign(preimage(F.lit(spec.name), pk_json(spec.keys), F.lit(c), F.lit(self.hlc), encode_value(F.col(f"`{c}`"), spec.kind(c)))) for c in spec.tracked]
+        fresh = F.create_map(*[x for c, v in zip(spec.tracked, signed) for x in (F.lit(c), v)])
+        kept = F.map_filter(F.coalesce(F.col(COLUMN_SIGS), F.expr("cast(map() as map<string,string>)")), lambda k, _: ~F.array_contains(names, k))
+        return rows.withColumn(COLUMN_SIGS, F.map_concat(kept, F.map_filter(fresh, lambda k, v: F.array_contains(names, k) & v.isNotNull())))
 
     # Schema
 
     def create_table(self, name: str, schema, pks: list[str], **more) -> TableSpec:
         if name in self.specs and name not in self.dropped:
             raise ValidationError(f"table {name!r} exists")
-        names = T._parse_datatype_string(schema).fieldNames() if isinstance(schema, str) else schema.fieldNames()
-        if any(c in METADATA for c in names):
-            schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-            schema = T.StructType([f for f in schema.fields if f.name not in METADATA])
+        schema = T.StructType([f for f in parse_schema(schema).fields if f.name not in METADATA])
         self.specs[name] = spec = TableSpec.of(name, schema, pks, **more)
         self.dropped.discard(name)
         self._put(name, self.store.spark.createDataFrame([], spec.schema), dirty=False)
@@ -553,7 +553,7 @@ class Store:
         if "create" in x:
             tx.create_table(x["create"], x["schema"], x["pks"])
         elif "add" in x:
-            column = T._parse_datatype_string(x["add"]).fields[0]
+            column = parse_schema(x["add"]).fields[0]
             tx.alter_table(x["to"], lambda s: s.add_column(column))
         else:
             raise MigrationError(f"unknown statement {sorted(x)}")
