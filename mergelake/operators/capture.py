@@ -89,12 +89,12 @@ def capture(old: DataFrame, new: DataFrame, spec: TableSpec, hlc: str, touched:
     """
     both = diff(old, new, spec)
     changes = changed_columns(spec)
-    stamped_map = restamped(F.col(f"o.{COLUMN_HLCS}"), names_where(changes), hlc)
+    stamped_map = restamped(F.col(f"o.{COLUMN_HLCS}"), F.col("__changed"), hlc)
     moved = (F.col("kind") == "update") | (F.lit(touched) & (F.col("kind") == "same"))
     row_hlc = F.when((F.col("kind") == "insert") | moved, F.lit(hlc)).otherwise(F.col(f"o.{ROW_HLC}"))
     clocks = F.when(F.col("kind") == "insert", _map([(c, F.lit(hlc)) for c in spec.tracked])).when(moved, stamped_map).otherwise(F.col(f"o.{COLUMN_HLCS}"))
     given = [c for c in spec.names if c in new.columns]
-    rows = both.filter("kind <> 'delete'").select(
+    rows = both.filter("kind <> 'delete'").withColumn("__changed", names_where(changes)).select(
         *[(F.col(f"n.`{c}`") if c in given else F.col(f"o.`{c}`")).alias(c) for c in spec.names], row_hlc.alias(ROW_HLC), clocks.alias(COLUMN_HLCS), F.coalesce(F.col(f"o.{COLUMN_SIGS}"), _empty_map()).alias(COLUMN_SIGS)
     )
     dirty = F.when(F.col("kind") == "update", reduce(lambda x, y: x | y, changes.values(), F.lit(False))).otherwise(F.col("kind").isin("insert", "delete"))
@@ -122,8 +122,10 @@ def update_rows(state: DataFrame, spec: TableSpec, condition: Column, assign: di
     if not spec.synced:
         return state.withColumns(new), hit
     changes = {c: hit & ~F.col(f"`{c}`").eqNullSafe(v.cast(spec.kind(c))) for c, v in assign.items() if c in spec.tracked}
-    clocks = restamped(F.col(COLUMN_HLCS), names_where(changes), hlc)
-    out = state.withColumns({**new, ROW_HLC: F.when(hit, F.lit(hlc)).otherwise(F.col(ROW_HLC)), COLUMN_HLCS: F.when(hit, clocks).otherwise(F.col(COLUMN_HLCS))})
+    clocks = restamped(F.col(COLUMN_HLCS), F.col("__changed"), hlc)
+    # In a step of its own: within a lambda, a name would mean the column as it is assigned beside it.
+    marked = state.withColumn("__changed", names_where(changes))
+    out = marked.withColumns({**new, ROW_HLC: F.when(hit, F.lit(hlc)).otherwise(F.col(ROW_HLC)), COLUMN_HLCS: F.when(hit, clocks).otherwise(F.col(COLUMN_HLCS))})
     return out.select(*state.columns), reduce(lambda x, y: x | y, changes.values(), F.lit(False))
 
 

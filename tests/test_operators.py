@@ -256,7 +256,7 @@ def test_capture(spark):
         cap.check_written(new.withColumn(ROW_HLC, F.lit("1/1")), ITEMS)
     with pytest.raises(cap.LimitExceeded):
         cap.charge(new, ITEMS, 5)
-    assert cap.charge(new, ITEMS) == 11
+    assert cap.charge(new, ITEMS) == 10
 
 
 def test_upsert_install_stamp(spark):
