@@ -30,6 +30,10 @@ FREQUENT, MOST_FREQUENT = 64, 1 << 20
 CLASS_BYTES = 4 << 20
 #: Identifiers that may be broadcast (8 bytes and the table's overhead each).
 BROADCAST_IDS = 250_000
+#: Documents of a key's largest component that each of its other documents is tried with, before all that may be linked are.
+TRIES = 4
+#: Documents that one list of a key's outsiders holds on average; more are dealt out to several lists.
+LISTED = 4096
 #: Text bytes shingled at once.
 BLOCK = 4 << 20
 
@@ -142,12 +146,13 @@ class Prefixes:
         """k of a level of sizes; the same for both documents of a pair, as their sizes lie in the same or in neighbouring levels."""
         return max(2, int(math.exp(level * self.step) / 8))
 
-    def rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Single tokens, and keys of combinations: at least one of these if the prefix holds a frequent token."""
+    def rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Single tokens, keys of combinations, and how many tokens are frequent. If the prefix holds a frequent token,
+        the single tokens are all rare ones; if not, there are no combinations and the number is given as 0."""
         n = len(tokens)
         none = np.zeros(0, np.uint64)
         if not n:
-            return none, none
+            return none, none, 0
         weight = np.zeros(n, np.int64)
         if len(self.heavy):
             short = (tokens >> np.uint64(32)).astype(np.uint32)
@@ -159,15 +164,14 @@ class Prefixes:
         need = self.overlap(n)
         prefix = n - need + 1
         if prefix <= rare:
-            return tokens[:prefix], none
+            return tokens[:prefix], none, 0
         level = int(math.floor(math.log(n) / self.step + 1e-9))
-        out, longest = [_mix(tokens[:1])], prefix
+        out = [none]
         for tag in (level, level + 1):
             k = min(self._shared(tag), need)
             extended = n - need + k
-            longest = max(longest, extended)
             out.append(self._combinations(tokens[rare:extended], tag, self._shared(tag), k))
-        return tokens[: min(rare, longest)], np.unique(np.concatenate(out))
+        return tokens[:rare], np.unique(np.concatenate(out)), n - rare
 
     def _combinations(self, tokens: np.ndarray, tag: int, shared: int, k: int) -> np.ndarray:
         """Keys of pairs of tokens of a class; with overlaps too small for the level's k, of the single tokens too."""
@@ -244,8 +248,8 @@ def without_ids(docs: DataFrame, ids: DataFrame, keep: bool = False) -> DataFram
     return docs.join(ids, "doc_id", "left_semi" if keep else "left_anti")
 
 
-def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) -> tuple[DataFrame, DataFrame]:
-    """Single tokens packed by class (class, n, blob of token and doc_id), and combinations (key, doc_id)."""
+def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Single tokens packed by class (class, n, blob of token and doc_id), combinations (key, doc_id), and documents whose prefix is not all rare (doc_id, heavy: their frequent tokens)."""
     order = docs.sparkSession.sparkContext.broadcast((prefixes.heavy, prefixes.holders, prefixes.percent))
 
     def rows(batches):
@@ -264,11 +268,14 @@ def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) ->
             if len(keys):
                 of = np.repeat(ids, [len(f[1]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(["several"] * len(keys)), pa.array(keys), pa.array(of), pa.nulls(len(keys), pa.binary())], names)
+            mixed = [(i, f[2]) for i, f in zip(ids.tolist(), found) if f[2]]
+            if mixed:
+                yield pa.RecordBatch.from_arrays([pa.array(["mixed"] * len(mixed)), *(pa.array(c, pa.int64()) for c in zip(*mixed)), pa.nulls(len(mixed), pa.binary())], names)
 
     names = ["kind", "id", "n", "data"]
     docs.select("doc_id", "text").mapInArrow(rows, "kind string, id long, n long, data binary").write.partitionBy("kind").parquet(path := _path(docs, "token-index"))
     both = docs.sparkSession.read.schema("id long, n long, data binary, kind string").parquet(path)
-    return both.filter("kind = 'single'").select("id", "n", "data"), both.filter("kind = 'several'").select(F.col("id").alias("key"), F.col("n").alias("doc_id"))
+    return both.filter("kind = 'single'").select("id", "n", "data"), both.filter("kind = 'several'").select(F.col("id").alias("key"), F.col("n").alias("doc_id")), both.filter("kind = 'mixed'").select(F.col("id").alias("doc_id"), F.col("n").alias("heavy"))
 
 
 def single_pairs(singles: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -358,26 +365,38 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     copies = members.filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id <> first)").select("doc_id").distinct().join(leads, "doc_id", "left_anti")
     firsts = without_ids(docs.filter("doc_id IS NOT NULL"), staged(copies, "copies"))
 
-    singles, several = index_rows(firsts, Prefixes(*heavy, percent), width, classes)
+    singles, several, mixed = index_rows(firsts, Prefixes(*heavy, percent), width, classes)
     # Tokens of this many holders are frequent, unless MOST_FREQUENT was reached; longer lists then go the way of combinations.
     pairs, long_lists = single_pairs(singles, 2 * frequent)
-    postings = staged(several.unionByName(long_lists).distinct(), "postings")
-    mixed = staged(postings.select("doc_id").distinct(), "mixed")
-    lead = staged(postings.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"), "posting-leads")
-    postings = staged(postings.join(lead, "key"), "shared-postings")
-
-    # Where both prefixes are all rare, c counts all common tokens up to the earlier of their ends; beyond lie overlap - 1 at most.
-    info = staged(members.filter("doc_id = first").groupBy("first").agg(F.max("n_shingles").alias("n")), "sizes")
+    info = members.filter("doc_id = first").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    # A document's frequent tokens and those of its long lists: all that documents with mixed prefixes share besides what
+    # their pair counts. Documents with long lists but all-rare prefixes are indexed in part only: all may be shared.
+    extra = long_lists.groupBy("doc_id").agg(F.count("*").alias("long"))
+    mixed = mixed.groupBy("doc_id").agg(F.max("heavy").alias("heavy")).join(extra, "doc_id", "full_outer").join(info, "doc_id")
+    mixed = staged(mixed.select("doc_id", "n", F.least("n", F.coalesce(F.col("heavy") + F.coalesce("long", F.lit(0)), "n")).alias("heavy")), "mixed")
+    info = staged(info, "sizes")
+
+    # Where both prefixes are all rare, c counts all common tokens up to the earlier of their ends; beyond lie overlap - 1
+    # at most. Where both are mixed, c counts all common rare tokens.
     na, nb = F.col("na"), F.col("nb")
     alike = (100 * na >= percent * nb) & (100 * nb >= percent * na)
-    pairs = pairs.join(info.select(F.col("first").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("first").alias("b"), F.col("n").alias("nb")), "b")
+    for x in "ab":
+        pairs = pairs.join(info.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")), x).join(mixed.select(F.col("doc_id").alias(x), F.col("heavy").alias(f"heavy_{x}")), x, "left")
     needs = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
     beyond = F.ceil(F.greatest(na, nb) * percent / 100) - 1
-    for x in "ab":
-        pairs = pairs.join(mixed.select(F.col("doc_id").alias(x), F.lit(True).alias(f"mixed_{x}")), x, "left")
-    pairs = staged(pairs.filter(alike & (F.col("mixed_a").isNotNull() | F.col("mixed_b").isNotNull() | (F.col("c") + beyond >= needs))).select("a", "b", "c"), "pairs")
+    ha, hb = F.col("heavy_a"), F.col("heavy_b")
+    most = F.when(ha.isNull() & hb.isNull(), F.col("c") + beyond).when(ha.isNotNull() & hb.isNotNull(), F.col("c") + F.least(ha, hb)).otherwise(needs)
+    pairs = staged(pairs.filter(alike & (most >= needs)).select("a", "b", "c"), "pairs")
+
+    # Pairs that combinations alone find share frequent tokens only; so each limits the size of its partner.
+    reach = F.floor(F.col("heavy") * (100 + percent) / percent + 1e-9) - F.col("n")
+    postings = several.unionByName(long_lists).distinct().join(mixed.withColumn("reach", reach).filter(100 * F.col("reach") >= percent * F.col("n")), "doc_id")
+    postings = staged(postings, "postings")
+    # Leaders: the smallest document, and the one with most frequent tokens for its size, which a group's copies differ least from.
+    lead = postings.groupBy("key").agg(F.min("doc_id").alias("smallest"), F.max(F.struct(F.floor(F.col("heavy") * 10_000 / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"))).alias("central"), F.count("*").alias("m"))
+    lead = staged(lead.filter("m > 1").select("key", F.explode(F.array_distinct(F.array("smallest", -F.col("central.minus")))).alias("lead")), "posting-leads")
+    star = postings.join(lead, "key").filter("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
 
-    star = postings.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
     best = pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus_a"))).alias("most"), F.min("a").alias("least"))
     edges = staged(best.select(F.col("least").alias("a"), "b").unionByName(best.select((-F.col("most.minus_a")).alias("a"), "b")).unionByName(star).distinct(), "first-edges")
     links = verified(edges, firsts, width, percent)
@@ -386,14 +405,37 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
+    def minor() -> tuple[DataFrame, DataFrame]:
+        """Postings whose keys join several components, with c; and of these the rows outside their key's largest component, with its documents to try."""
+        owned = staged(labelled(postings, "doc_id", "c"), "owned-postings")
+        sizes = owned.groupBy("key", "c").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id"))["doc_id"].alias(f"try_{r}") for r in range(TRIES)])
+        top = sizes.groupBy("key").agg(F.max(F.struct("m", "c", *[f"try_{r}" for r in range(TRIES)])).alias("top"), F.count("*").alias("k"), F.sum("m").alias("total")).filter("k > 1").select("key", "top", "total")
+        top = staged(top, "open-keys")
+        mixed_keys = owned.join(top, "key")
+        return mixed_keys.drop("top", "total"), mixed_keys.filter(F.col("c") != F.col("top.c"))
+
+    def tried(pairs_now: DataFrame) -> DataFrame:
+        """Verify pairs not verified before; their links join the others."""
+        nonlocal label, links, edges
+        fresh = staged(pairs_now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti"), "more-edges")
+        if not fresh.isEmpty() and not (more := verified(fresh, firsts, width, percent)).isEmpty():
+            links = links.unionByName(more)
+            label = components(links)
+        edges = edges.unionByName(fresh)
+
+    # A few documents of each key's largest component first: most of a group of near copies joins it there.
+    _, outside = minor()
+    tried(outside.select(F.explode(F.array(*[F.col(f"top.try_{r}") for r in range(TRIES)])).alias("a"), F.col("doc_id").alias("b")).filter("a <> b"))
+    # Then whatever still joins different components. Each key brings the list of its outsiders to all its documents, which
+    # keep those of fitting size; what remains is united by document, so a pair is made once, not once for each shared key.
     across = labelled(labelled(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    owned = staged(labelled(postings.select("key", "doc_id"), "doc_id", "c"), "owned-postings")
-    open_keys = staged(owned.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key"), "open-keys")
-    sized = staged(owned.join(open_keys, "key", "left_semi").join(info.select(F.col("first").alias("doc_id"), "n"), "doc_id"), "open-postings")
-    left, right = (sized.select("key", F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    more = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
-    rest = staged(across.unionByName(more.select("a", "b")).distinct().join(edges, ["a", "b"], "left_anti"), "other-edges")
-    if not rest.isEmpty():
-        label = components(links.unionByName(verified(rest, firsts, width, percent)))
+    inside, outside = minor()
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / LISTED)).alias("block")
+    outsiders = staged(outside.groupBy("key", block).agg(F.collect_list(F.struct("doc_id", "c", "n", "reach")).alias("others")), "outsiders")
+    n, reach = F.col("n"), F.col("reach")
+    fits = lambda o: (o["n"] <= reach) & (n <= o["reach"]) & (o["c"] != F.col("c")) & (100 * o["n"] >= percent * n) & (100 * n >= percent * o["n"])
+    met = inside.join(outsiders, "key").select("doc_id", F.transform(F.filter("others", fits), lambda o: o["doc_id"]).alias("others")).filter(F.size("others") > 0)
+    met = met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    tried(across.unionByName(met.select(F.col("doc_id").alias("a"), F.explode("others").alias("b"))))
     named = label.select(F.col("node").alias("first"), "component")
     return members.join(named, "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
