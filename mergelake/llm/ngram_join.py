@@ -370,14 +370,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     pairs, long_lists = single_pairs(singles, 2 * frequent)
     info = members.filter("doc_id = first").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     # A document's frequent tokens and those of its long lists: all that documents with mixed prefixes share besides what
-    # their pair counts. Documents with long lists but all-rare prefixes are indexed in part only: all may be shared.
+    # their pair counts. Documents with long lists but all-rare prefixes are indexed in part only: they may share all their
+    # tokens (heavy = n), and what they share with a mixed document isn't bounded by that one's heavy either.
     extra = long_lists.groupBy("doc_id").agg(F.count("*").alias("long"))
     mixed = mixed.groupBy("doc_id").agg(F.max("heavy").alias("heavy")).join(extra, "doc_id", "full_outer").join(info, "doc_id")
-    mixed = staged(mixed.select("doc_id", "n", F.least("n", F.coalesce(F.col("heavy") + F.coalesce("long", F.lit(0)), "n")).alias("heavy")), "mixed")
+    mixed = mixed.select("doc_id", "n", F.least("n", F.coalesce(F.col("heavy") + F.coalesce("long", F.lit(0)), "n")).alias("heavy"), F.col("heavy").isNull().alias("partial"))
+    mixed = staged(mixed, "mixed")
     info = staged(info, "sizes")
 
     # Where both prefixes are all rare, c counts all common tokens up to the earlier of their ends; beyond lie overlap - 1
-    # at most. Where both are mixed, c counts all common rare tokens.
+    # at most. Where both are mixed, c counts all common rare tokens. A heavy of n bounds nothing, nor does its partner's.
     na, nb = F.col("na"), F.col("nb")
     alike = (100 * na >= percent * nb) & (100 * nb >= percent * na)
     for x in "ab":
@@ -385,13 +387,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     needs = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
     beyond = F.ceil(F.greatest(na, nb) * percent / 100) - 1
     ha, hb = F.col("heavy_a"), F.col("heavy_b")
-    most = F.when(ha.isNull() & hb.isNull(), F.col("c") + beyond).when(ha.isNotNull() & hb.isNotNull(), F.col("c") + F.least(ha, hb)).otherwise(needs)
+    most = F.when(ha.isNull() & hb.isNull(), F.col("c") + beyond).when((ha < na) & (hb < nb), F.col("c") + F.least(ha, hb)).otherwise(needs)
     pairs = staged(pairs.filter(alike & (most >= needs)).select("a", "b", "c"), "pairs")
 
-    # Pairs that combinations alone find share frequent tokens only; so each limits the size of its partner.
-    reach = F.floor(F.col("heavy") * (100 + percent) / percent + 1e-9) - F.col("n")
-    postings = several.unionByName(long_lists).distinct().join(mixed.withColumn("reach", reach).filter(100 * F.col("reach") >= percent * F.col("n")), "doc_id")
-    postings = staged(postings, "postings")
+    # Pairs that combinations alone find share frequent tokens only; so each limits the size of its partner. Not so where
+    # one of them is indexed in part: it has no reach, and documents of any reach stay in the long lists that it is in.
+    reach = F.when(~F.col("partial"), F.floor(F.col("heavy") * (100 + percent) / percent + 1e-9) - F.col("n"))
+    wide = long_lists.join(mixed.filter("partial"), "doc_id").select("key").distinct().withColumn("wide", F.lit(True))
+    wide = long_lists.join(wide, "key", "left").select("key", "doc_id", F.coalesce("wide", F.lit(False)).alias("wide"))
+    postings = several.withColumn("wide", F.lit(False)).unionByName(wide).groupBy("key", "doc_id").agg(F.max("wide").alias("wide"))
+    postings = postings.join(mixed.withColumn("reach", reach), "doc_id").filter(F.col("wide") | F.col("reach").isNull() | (100 * F.col("reach") >= percent * F.col("n")))
+    postings = staged(postings.drop("wide", "partial"), "postings")
     # Leaders: the smallest document, and the one with most frequent tokens for its size, which a group's copies differ least from.
     lead = postings.groupBy("key").agg(F.min("doc_id").alias("smallest"), F.max(F.struct(F.floor(F.col("heavy") * 10_000 / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"))).alias("central"), F.count("*").alias("m"))
     lead = staged(lead.filter("m > 1").select("key", F.explode(F.array_distinct(F.array("smallest", -F.col("central.minus")))).alias("lead")), "posting-leads")
@@ -433,7 +439,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / LISTED)).alias("block")
     outsiders = staged(outside.groupBy("key", block).agg(F.collect_list(F.struct("doc_id", "c", "n", "reach")).alias("others")), "outsiders")
     n, reach = F.col("n"), F.col("reach")
-    fits = lambda o: (o["n"] <= reach) & (n <= o["reach"]) & (o["c"] != F.col("c")) & (100 * o["n"] >= percent * n) & (100 * n >= percent * o["n"])
+    within = lambda o: reach.isNull() | o["reach"].isNull() | ((o["n"] <= reach) & (n <= o["reach"]))
+    fits = lambda o: within(o) & (o["c"] != F.col("c")) & (100 * o["n"] >= percent * n) & (100 * n >= percent * o["n"])
     met = inside.join(outsiders, "key").select("doc_id", F.transform(F.filter("others", fits), lambda o: o["doc_id"]).alias("others")).filter(F.size("others") > 0)
     met = met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     tried(across.unionByName(met.select(F.col("doc_id").alias("a"), F.explode("others").alias("b"))))

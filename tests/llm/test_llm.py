@@ -165,6 +165,33 @@ def test_jaccard_components(spark, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (len(s[0]), c) for k, (s, c) in want.items()}
 
 
+def capped_rows(rng):
+    """Pairs (all-rare prefix, mixed prefix) of just enough likeness that share a long list, among short documents that hold it too."""
+    frequent, low, high = [f"f{k}" for k in range(70)], [], []
+    pairs = []
+    for g in range(12):
+        shared, a, b = [f"s{g}x{k}" for k in range(11)], [f"a{g}x{k}" for k in range(18)], [f"b{g}x{k}" for k in range(8)]
+        for words in ([f"t{g}", *shared, *a, *frequent], [f"t{g}", *shared, *b, *frequent]):
+            rng.shuffle(words)
+            pairs.append((1000 + len(pairs), " ".join(words)))
+        for k in range(16):
+            (low if k % 2 else high).append(" ".join([f"t{g}", *(f"o{g}x{k}x{j}" for j in range(3))]))
+    return [*enumerate(low), *pairs, *((2000 + k, t) for k, t in enumerate(high))]
+
+
+def test_jaccard_beyond_most_frequent(spark, monkeypatch):
+    """Tokens that the cap on broadcast ones leaves as rare have long lists; links must not depend on the cap."""
+    from mergelake.llm import ngram_join
+
+    rows = capped_rows(random.Random(5))
+    want = {k: c for k, (_, c) in jaccard_brute(rows, 1).items()}
+    assert sum(k != c for k, c in want.items()) == 12
+    for most in (70, 1 << 20):
+        monkeypatch.setattr(ngram_join, "MOST_FREQUENT", most)
+        got = ngram_join.jaccard_components(frame(spark, rows), width=1, frequent=2).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_jaccard_odd_rows(spark):
     from mergelake.llm.ngram_join import jaccard_components
 
