@@ -126,9 +126,12 @@ def _page_end(sizes: DataFrame, budget: int) -> tuple[tuple[str, str] | None, bo
     edges = sorted({str(e).rjust(20, "0") for e in edges})
     place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < time))
     placed, spent, last = sizes.withColumn("range", place), 0, None
-    for r in placed.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("key", "hlc")).alias("end")).orderBy("range").collect():
+    ranges = placed.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("key", "hlc")).alias("end")).orderBy("range").collect()
+    for k, r in enumerate(ranges):
         if spent + r["bytes"] > budget:
-            return _walk(placed.filter(F.col("range") == r["range"]), budget, spent, last)
+            last, more = _walk(placed.filter(F.col("range") == r["range"]), budget, spent, last)
+            # A range walked to its end is one transaction over the budget: whatever other ranges hold comes later.
+            return last, more or k + 1 < len(ranges)
         spent += r["bytes"]
         last = (r["end"]["key"], r["end"]["hlc"])
     return last, False

@@ -236,6 +236,13 @@ def test_pages_keep_transactions_whole(spark, budget):
     assert scan.first_page(changes.limit(0), budget, record=F.col("body"))[1] is False
 
 
+@pytest.mark.parametrize("times, more", [([1], False), ([1, 2], True), (range(1, 9), True)])
+def test_page_of_one_oversized_transaction(spark, times, more):
+    changes = spark.createDataFrame([(f"{t}/a", "x" * (500 if t == 1 else 5)) for t in times], "hlc_timestamp string, body string")
+    page, has_more = scan.first_page(changes, 100, record=F.col("body"))
+    assert [r.hlc_timestamp for r in page.collect()] == ["1/a"] and has_more is more
+
+
 # Capture, retention, schema
 
 
