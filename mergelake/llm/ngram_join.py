@@ -359,8 +359,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     heavy = frequent_tokens(blobs, frequent)
 
     groups = staged(sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "set-classes")
-    members = sets.filter("key IS NOT NULL").join(groups, "key").select("doc_id", F.col("n").alias("n_shingles"), "first")
-    members = staged(members.unionByName(sets.filter("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("first"))), "members")
+    members = sets.filter("key IS NOT NULL").join(groups, "key").select("doc_id", F.col("n").alias("n_shingles"), "first", "key")
+    members = staged(members.unionByName(sets.filter("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("first"), "key")), "members")
     leads = groups.filter("first IS NOT NULL").select(F.col("first").alias("doc_id")).distinct()
     copies = members.filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id <> first)").select("doc_id").distinct().join(leads, "doc_id", "left_anti")
     firsts = without_ids(docs.filter("doc_id IS NOT NULL"), staged(copies, "copies"))
@@ -368,13 +368,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     singles, several, mixed = index_rows(firsts, Prefixes(*heavy, percent), width, classes)
     # Tokens of this many holders are frequent, unless MOST_FREQUENT was reached; longer lists then go the way of combinations.
     pairs, long_lists = single_pairs(singles, 2 * frequent)
-    info = members.filter("doc_id = first").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    # Rows that repeat a doc_id with different sets have no size: nothing bounds their pairs, and all are verified. Classes
+    # whose rows share a doc_id are linked by it.
+    nodes = members.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"), (F.min("key") < F.max("key")).alias("sets"), (F.min("first") < F.max("first")).alias("apart"), F.max(F.expr("doc_id = first AND key IS NOT NULL")).alias("leads"))
+    nodes = staged(nodes, "nodes")
+    info = nodes.filter("leads").select("doc_id", F.when(~F.col("sets"), F.col("n")).alias("n"))
+    same = without_ids(members.filter("doc_id <> first"), staged(nodes.filter("apart").select("doc_id"), "repeated"), True)
+    same = staged(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "same-node")
     # A document's frequent tokens and those of its long lists: all that documents with mixed prefixes share besides what
     # their pair counts. Documents with long lists but all-rare prefixes are indexed in part only: they may share all their
     # tokens (heavy = n), and what they share with a mixed document isn't bounded by that one's heavy either.
     extra = long_lists.groupBy("doc_id").agg(F.count("*").alias("long"))
     mixed = mixed.groupBy("doc_id").agg(F.max("heavy").alias("heavy")).join(extra, "doc_id", "full_outer").join(info, "doc_id")
-    mixed = mixed.select("doc_id", "n", F.least("n", F.coalesce(F.col("heavy") + F.coalesce("long", F.lit(0)), "n")).alias("heavy"), F.col("heavy").isNull().alias("partial"))
+    mixed = mixed.select("doc_id", "n", F.least("n", F.coalesce(F.col("heavy") + F.coalesce("long", F.lit(0)), "n")).alias("heavy"), (F.col("heavy").isNull() | F.col("n").isNull()).alias("partial"))
     mixed = staged(mixed, "mixed")
     info = staged(info, "sizes")
 
@@ -388,7 +394,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     beyond = F.ceil(F.greatest(na, nb) * percent / 100) - 1
     ha, hb = F.col("heavy_a"), F.col("heavy_b")
     most = F.when(ha.isNull() & hb.isNull(), F.col("c") + beyond).when((ha < na) & (hb < nb), F.col("c") + F.least(ha, hb)).otherwise(needs)
-    pairs = staged(pairs.filter(alike & (most >= needs)).select("a", "b", "c"), "pairs")
+    pairs = staged(pairs.filter(F.coalesce(alike & (most >= needs), F.lit(True))).select("a", "b", "c"), "pairs")
 
     # Pairs that combinations alone find share frequent tokens only; so each limits the size of its partner. Not so where
     # one of them is indexed in part: it has no reach, and documents of any reach stay in the long lists that it is in.
@@ -405,7 +411,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
 
     best = pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus_a"))).alias("most"), F.min("a").alias("least"))
     edges = staged(best.select(F.col("least").alias("a"), "b").unionByName(best.select((-F.col("most.minus_a")).alias("a"), "b")).unionByName(star).distinct(), "first-edges")
-    links = verified(edges, firsts, width, percent)
+    links = verified(edges, firsts, width, percent).unionByName(same)
     label = components(links)
 
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -440,7 +446,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     outsiders = staged(outside.groupBy("key", block).agg(F.collect_list(F.struct("doc_id", "c", "n", "reach")).alias("others")), "outsiders")
     n, reach = F.col("n"), F.col("reach")
     within = lambda o: reach.isNull() | o["reach"].isNull() | ((o["n"] <= reach) & (n <= o["reach"]))
-    fits = lambda o: within(o) & (o["c"] != F.col("c")) & (100 * o["n"] >= percent * n) & (100 * n >= percent * o["n"])
+    fits = lambda o: within(o) & (o["c"] != F.col("c")) & F.coalesce((100 * o["n"] >= percent * n) & (100 * n >= percent * o["n"]), F.lit(True))
     met = inside.join(outsiders, "key").select("doc_id", F.transform(F.filter("others", fits), lambda o: o["doc_id"]).alias("others")).filter(F.size("others") > 0)
     met = met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     tried(across.unionByName(met.select(F.col("doc_id").alias("a"), F.explode("others").alias("b"))))

@@ -192,6 +192,26 @@ def test_jaccard_beyond_most_frequent(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("frequent, most", [(64, 1 << 20), (2, 30)])
+def test_jaccard_repeated_ids_of_different_texts(spark, monkeypatch, frequent, most):
+    """A doc_id's rows are one node, whatever their sizes and whether each is a copy of another's."""
+    from mergelake.llm import ngram_join
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"v{rng.randrange(400)}" for _ in range(n))
+    near = lambda t: t + " last"
+    t, x, y, z = text(100), text(40), text(40), text(60)
+    rows = [(7, t), (7, text(1000)), (8, near(t)), (3, x), (4, y), (9, x), (9, y), (12, ""), (12, z), (11, z), (13, None)]
+    for g in range(15):
+        base = text(rng.choice([30, 60, 200]))
+        rows += [(20 + rng.randrange(60), " ".join([base, f"end{k}"])) for k in range(3)]
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", most)
+    got = ngram_join.jaccard_components(frame(spark, rows), frequent=frequent).collect()
+    want = jaccard_brute(rows)
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((k, len(s)) for k, (sets, _) in want.items() for s in sets)
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, c) for k, (_, c) in want.items()}
+
+
 def test_jaccard_odd_rows(spark):
     from mergelake.llm.ngram_join import jaccard_components
 
