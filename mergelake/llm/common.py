@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold: bounds a Python worker's memory where texts are long.
-ARROW_ROWS = 1024
+#: Rows and bytes that one Arrow batch may hold: bounds a Python worker's memory where texts are long.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows; for the Python operators of this subpackage."""
+    """Bound Arrow batches by rows and bytes; for the Python operators of this subpackage."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def text_or_empty(column: str = "text"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mergelake.llm.common import small_batches
 from mergelake.llm.sstable import _range_of
-from mergelake.llm.units import balanced
+from mergelake.llm.units import balanced, release
 
 #: Code points of a k-mer and of its inner substrings; K is a multiple of S.
 K, S = 12, 4
@@ -163,6 +163,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         )
 
     def fingerprinted(batches):
+        release()
         first, ids, texts, prints, over = None, [], [], [], False
         for batch in balanced(batches, 4 << 20):
             new_ids, new_texts, guests = (batch.column(i).to_pylist() for i in range(3))

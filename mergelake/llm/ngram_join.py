@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mergelake.llm.common import small_batches, staged
 from mergelake.llm.components import components
-from mergelake.llm.units import balanced, text_bytes
+from mergelake.llm.units import balanced, release, text_bytes, tidy
 
 #: Holders from which a token is frequent, and the most tokens that are ever broadcast as such (8 bytes each); of more, the most frequent.
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
@@ -34,8 +34,8 @@ BROADCAST_IDS = 250_000
 TRIES = 4
 #: Documents that one list of a key's outsiders holds on average; more are dealt out to several lists.
 LISTED = 4096
-#: Text bytes shingled at once.
-BLOCK = 4 << 20
+#: Text bytes shingled at once (one text at least), and bytes whose words are hashed at once.
+BLOCK, WINDOW = 1 << 20, 512 << 10
 
 _M1, _M2, _M3 = np.uint64(0x7FB5D329728EA185), np.uint64(0x81DADEF4BC2DD44D), np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -61,27 +61,44 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    empty = np.zeros(0, np.uint64)
-    count = len(offsets) - 1
-    if not len(data):
-        return [empty] * count
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all words; no word spans an offset. Windows end at white space or at an offset, so a very long
+    text takes no more working memory than a window besides its words (one word is never cut)."""
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + WINDOW)
+        while b < n and not _SPACE[data[b]]:
+            step = _SPACE[data[b : b + WINDOW]]
+            b += int(step.argmax()) if step.any() else len(step)
+        at, h = _hashed(data[a:b], offsets[(offsets > a) & (offsets < b)] - a)
+        starts.append(at + a)
+        hashes.append(h)
+        a = b
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     begins = inside.copy()
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    begins[1:] &= ~inside[:-1]
+    begins[edges] = inside[edges]
     place = np.flatnonzero(inside)
     if not len(place):
-        return [empty] * count
+        return place, np.zeros(0, np.uint64)
     low = data[place]
     low = np.where((low >= 65) & (low <= 90), low + 32, low).astype(np.uint64) + np.uint64(1)
     starts = np.flatnonzero(begins[place])  # of words, among the bytes that words have
     length = np.diff(np.append(starts, len(place)))
     within = np.arange(len(place)) - np.repeat(starts, length)
     powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(length.max()), np.uint64(_BASE)))])
-    words = _mix(np.add.reduceat(low * powers[within], starts) + length.astype(np.uint64))
-    bounds = np.searchsorted(place[starts], offsets)
+    return place[starts], _mix(np.add.reduceat(low * powers[within], starts) + length.astype(np.uint64))
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    empty = np.zeros(0, np.uint64)
+    starts, words = _words(data, offsets)
+    bounds = np.searchsorted(starts, offsets)
     shingles = empty
     if len(words) >= width:
         shingles = words[: len(words) - width + 1].copy()
@@ -192,18 +209,21 @@ class Prefixes:
 
 
 def token_sets(docs: DataFrame, width: int, classes: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key of the whole set) of all rows, and packed 32-bit tokens by class (class, n, blob), each token once for each row of a batch that has it."""
+    """(doc_id, n, key of the whole set) of all rows, and packed 32-bit tokens by class (class, n, blob): the distinct ones
+    of a batch and how many of its rows hold each, so a token that a third of all rows hold is one entry for each batch."""
     small_batches(docs.sparkSession)
 
     def rows(batches):
+        release()
         for batch in balanced(batches):
             sets = shingle_sets(batch.column(1), width)
             keys = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             size = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array(["set"] * size), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], names)
-            tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+            tokens = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32) if sets else np.zeros(0, np.uint32)
             if len(tokens):
-                own = [(c, s.stop - s.start, _packed((tokens[s] >> np.uint64(32)).astype(np.uint32))) for c, s in _by_class(tokens, classes)]
+                tokens, held = np.unique(tokens, return_counts=True)
+                own = [(c, s.stop - s.start, _packed(tokens[s], held[s].astype(np.uint32))) for c, s in _by_class(tokens.astype(np.uint64) << np.uint64(32), classes)]
                 yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(own)), *(pa.array([o[i] for o in own], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names)
 
     names = ["kind", "id", "n", "data"]
@@ -223,9 +243,15 @@ def frequent_tokens(blobs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndar
     """32-bit tokens of `frequent` holders or more, ascending, and their holders; MOST_FREQUENT at most, by a higher bound on holders if need be."""
 
     def counted(group: pa.Table) -> pa.Table:
-        tokens = np.concatenate([_unpacked(b, n, np.uint32)[0] for n, b in zip(group["n"].to_pylist(), group["data"].to_pylist())])
-        tokens, holders = np.unique(tokens, return_counts=True)
+        parts = [_unpacked(b, n, np.uint32, np.uint32) for n, b in zip(group["n"].to_pylist(), group["data"].to_pylist())]
+        tokens, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(tokens, kind="stable")
+        tokens, held = tokens[order], held[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        tokens, holders = tokens[first], np.add.reduceat(held.astype(np.int64), first)
         many = holders >= frequent
+        del parts, held, order
+        tidy()
         return pa.table({"token": pa.array(tokens[many], pa.int64()), "holders": pa.array(holders[many], pa.int64())})
 
     found = staged(blobs.groupBy("id").applyInArrow(counted, "token long, holders long"), "frequent-tokens")
@@ -253,6 +279,7 @@ def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) ->
     order = docs.sparkSession.sparkContext.broadcast((prefixes.heavy, prefixes.holders, prefixes.percent))
 
     def rows(batches):
+        release()
         own = Prefixes(*order.value)
         for batch in balanced(batches):
             ids = np.asarray(batch.column(0), np.int64)
@@ -309,6 +336,8 @@ def single_pairs(singles: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             out_a.append(a[first])
             out_b.append(b[first])
             out_c.append(np.diff(np.append(first, len(a))))
+        del parts, order, tokens, ids, a, b
+        tidy()
         return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64()), "c": pa.array(np.concatenate(out_c), pa.int64())})
 
     found = staged(singles.groupBy("id").applyInArrow(paired, "a long, b long, c long"), "single-pairs")
@@ -334,6 +363,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        tidy()
 
     whole = without_ids(docs.select("doc_id", "text"), needed, True).mapInArrow(sets, "doc_id long, tokens binary")
     whole = staged(whole, "needed-sets")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergelake.llm.common import checkpointed, partitions, small_batches, staged
-from mergelake.llm.units import balanced, encoder
+from mergelake.llm.units import balanced, encoder, release, tidy
 
 DIMENSIONS, BITS = 3, 10
 #: How far projected means spread before they are squeezed to the cube.
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     places = numbered.mapInArrow(running, "part int, row long, within long").join(F.broadcast(base), "part").select("row", (F.col("within") + F.col("base")).alias("place"))
 
     def pieces(batches):
+        release()
         for batch in batches:
             out = [[], [], [], [], [], [], []]
             for doc_id, size, ids, place in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -125,6 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
                     start += n
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if piece_crc else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        tidy()
 
     names = ["doc_id", "start", "length", "ids_crc32" if piece_crc else "ids", "doc_tokens", "sequence_id", "offset"]
     joined = held.select("row", "doc_id", "size", "ids").join(places, "row").select("doc_id", "size", "ids", "place")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mergelake.llm.common import small_batches
-from mergelake.llm.units import UnitEncoder, balanced
+from mergelake.llm.units import UnitEncoder, balanced, held
 
 #: The library's mark for a blank.
 BLANK = "▁"
@@ -257,13 +257,8 @@ class PieceEncoder(UnitEncoder):
         return super().encode(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(blank, texts, pa.scalar("", pa.large_string()))))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def piece_encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return held(path, PieceEncoder)
 
 
 def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergelake.llm.common import small_batches
-from mergelake.llm.units import balanced, text_bytes
+from mergelake.llm.units import balanced, release, text_bytes
 
 #: Texts are compressed in pieces of so many bytes: a longer window would learn the text itself and forget the dictionary.
 PIECE = 256
@@ -128,6 +128,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def scored(batches):
+        release()
         differences = Differences(model) if model.good else None
         for batch in balanced(batches):
             score = _scores(batch.column(1), model, differences)
@@ -143,6 +144,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     at = docs.columns.index("text")
 
     def kept(batches):
+        release()
         differences = Differences(model) if model.good else None
         for batch in balanced(batches):
             yield batch.filter(pa.array(_scores(batch.column(at), model, differences) >= threshold))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelake.llm.common import fresh_path, small_batches, staged
-from mergelake.llm.units import balanced, encoder
+from mergelake.llm.units import balanced, encoder, release, tidy
 
 BLOCK_BYTES = 64 << 10
 #: Text bytes that a shard takes on average.
@@ -186,6 +186,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([np.dtype(kind).itemsize] * len(ids), pa.int32())], ["shard", "doc_id", "ids", "width"])
 
     def written(batches):
+        release()
         writer, docs_in, own = None, 0, None
         for batch in batches:
             for number, doc_id, ids, width in zip(*(batch.column(i).to_pylist() for i in range(4))):
