@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelake.llm.common import fresh_path, staged, text_or_empty
+from mergelake.llm.common import discard, fresh_path, partitions, staged, text_or_empty
 
 #: The white space that ends of lines lose, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,47 +23,78 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
-class LineRuns:
-    """Runs of (hash, n, holder), each sorted by hash: n documents of a batch hold the line; holder is the largest doc_id, in the run of the first batch that held it.
+class Run(NamedTuple):
+    table: str
+    path: str
+
 
-    Batches come in descending order of doc_id, so a line that an older run knows has its holder there. A level that has
-    `fanout` runs is compacted into one run of the next level.
+class LineRuns:
+    """Runs of (hash, n, holder): tables bucketed by hash and sorted by it within each bucket. n documents of a batch hold
+    the line; holder is the largest doc_id, and stands only in the run of the first batch that held the line.
+
+    Batches come in descending order of doc_id, so the largest holder of a line is known with the first batch that has
+    it: a batch is merge-joined with each run, its lines that no run knows are fresh and keep their holder for good, those
+    that a run knows only add to the count. As runs and batches are dealt by the same hash, a run is read where it lies:
+    neither a batch's lookup, nor compaction, nor state() shuffles older runs again. A level that has `fanout` runs is
+    compacted into one run of the next level. An empty batch is an empty run; a null holder (a batch of null doc_ids) is
+    kept as unknown until a later batch names one.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets, self.stale = partitions(spark), []
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        df.sortWithinPartitions("hash").write.parquet(path := fresh_path(self.spark, "line-run"))
-        return self.spark.read.schema(df.schema).parquet(path)
+    def _write(self, df: DataFrame) -> Run:
+        path = fresh_path(self.spark, "line-run")
+        run = Run(path.rpartition("/")[2].replace("-", "_"), path)
+        df.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(run.table)
+        return run
 
-    def runs(self) -> list[DataFrame]:
+    def _drop(self, runs: list[Run]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
+            discard(self.spark, run.path)
+
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("hash").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+    def _merged(self, runs: list[Run]) -> DataFrame:
+        """One row for each line: counts add up, and of its rows at most one names the holder."""
+        rows = reduce(DataFrame.unionByName, [self.spark.table(r.table) for r in runs])
+        return rows.groupBy("hash").agg(F.sum("n").alias("n"), F.first("holder", ignorenulls=True).alias("holder"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch of (doc_id, hash), a line once for each document; returns its run, in which fresh lines have a holder."""
         own = batch.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
-        if self.runs():
-            known = reduce(DataFrame.unionByName, self.runs()).filter("holder IS NOT NULL").select("hash", F.lit(True).alias("known"))
-            own = own.join(known, "hash", "left").select("hash", "n", F.when(F.col("known").isNull(), F.col("holder")).alias("holder"))
-        self.levels[0].append(run := self._write(own))
+        known = F.lit(False)
+        for k, run in enumerate(self.runs()):
+            own = own.join(self.spark.table(run.table).filter("holder IS NOT NULL").select("hash", F.lit(True).alias(f"known_{k}")), "hash", "left")
+            known = known | F.col(f"known_{k}").isNotNull()
+        run = self._write(own.select("hash", "n", F.when(~known, F.col("holder")).alias("holder")))
+        self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged(self.levels[level])))
+            full = self.levels[level]
+            self.levels[level + 1].append(self._write(self._merged(full)))
             self.levels[level] = []
+            # The caller may still read the newest run, which add() returns; it goes with drop().
+            self._drop([r for r in full if r != run])
+            self.stale += [r for r in full if r == run]
             level += 1
-        return run
+        return self.spark.table(run.table)
 
     def state(self) -> DataFrame:
         return self._merged(self.runs())
 
+    def drop(self) -> None:
+        """Remove the runs; frames read from them are void."""
+        self._drop(self.runs() + self.stale)
+        self.levels, self.stale = [[]], []
+
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_text, and the columns of docs named in `carry`.
 
     Lines whose key has min_chars code points and is held by min_docs documents stay only in the largest doc_id that
@@ -72,8 +104,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     A null or empty text is one empty line. A null doc_id holds lines like any other but is never the largest; rows that
     repeat a doc_id are one document when holders are counted by their own lines, each row counting once, and all of them
-    keep what their doc_id holds. A document may lose all its lines; its kept_text is then empty. An empty table gives an
-    empty result; other columns aren't read unless carried.
+    keep what their doc_id holds. A document may lose all its lines; its kept_text is then empty. A very long text is a row
+    with an array of its lines, cut in linear time; a line may be as long as its text. An empty table gives an empty
+    result; other columns aren't read unless carried.
     """
     spark = docs.sparkSession
     whole = docs.select("doc_id", text_or_empty().alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
@@ -90,6 +123,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     for k in range(len(bounds) + 1):
         runs.add(held.filter(F.col("batch") == k).select("doc_id", "hash"))
     common = staged(runs.state().filter(F.col("n") >= min_docs).select("hash", "holder"), "line-common")
+    runs.drop()
+    discard(spark, path)
 
     each = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.posexplode(lines).alias("at", "line")).select("doc_id", "of_text", "at", line_key(F.col("line")).alias("key"))
     each = each.filter(F.char_length("key") >= min_chars).select("doc_id", "of_text", "at", F.unhex(F.md5("key")).alias("hash"))

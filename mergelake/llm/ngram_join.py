@@ -447,9 +447,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
-    def minor() -> tuple[DataFrame, DataFrame]:
-        """Postings whose keys join several components, with c; and of these the rows outside their key's largest component, with its documents to try."""
-        owned = staged(labelled(postings, "doc_id", "c"), "owned-postings")
+    def minor(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of postings those whose keys join several components, with c; and of these the rows outside their key's largest component, with its documents to try."""
+        owned = staged(labelled(rows, "doc_id", "c"), "owned-postings")
         sizes = owned.groupBy("key", "c").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id"))["doc_id"].alias(f"try_{r}") for r in range(TRIES)])
         top = sizes.groupBy("key").agg(F.max(F.struct("m", "c", *[f"try_{r}" for r in range(TRIES)])).alias("top"), F.count("*").alias("k"), F.sum("m").alias("total")).filter("k > 1").select("key", "top", "total")
         top = staged(top, "open-keys")
@@ -466,12 +466,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
         edges = edges.unionByName(fresh)
 
     # A few documents of each key's largest component first: most of a group of near copies joins it there.
-    _, outside = minor()
+    opened, outside = minor(postings)
     tried(outside.select(F.explode(F.array(*[F.col(f"top.try_{r}") for r in range(TRIES)])).alias("a"), F.col("doc_id").alias("b")).filter("a <> b"))
     # Then whatever still joins different components. Each key brings the list of its outsiders to all its documents, which
     # keep those of fitting size; what remains is united by document, so a pair is made once, not once for each shared key.
     across = labelled(labelled(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    inside, outside = minor()
+    # Components only grow, so keys that joined one component before need no second look.
+    inside, outside = minor(opened.drop("c"))
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / LISTED)).alias("block")
     outsiders = staged(outside.groupBy("key", block).agg(F.collect_list(F.struct("doc_id", "c", "n", "reach")).alias("others")), "outsiders")
     n, reach = F.col("n"), F.col("reach")

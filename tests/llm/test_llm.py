@@ -266,6 +266,22 @@ def test_exact_dedup(spark, monkeypatch):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_exact_dedup_hashes_only_survivors(spark, monkeypatch, limit):
+    """Which rows each level hashes: prefixes where a length repeats, full texts where length and prefix do."""
+    from mergelake.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", limit)
+    long = "p" * exact_dedup.PREFIX_BYTES
+    rows = [(1, "alone"), (2, "ab"), (3, "cd"), (4, "same"), (5, "same"), (6, long + "a"), (7, long + "b"), (8, "q" * (len(long) + 1)), (9, None), (10, ""), (11, "é"), (12, "ab\x00")]
+    raw = {i: said(t).encode() for i, t in rows}
+    lengths = Counter(len(b) for b in raw.values())
+    prefixes = Counter((len(b), b[: exact_dedup.PREFIX_BYTES]) for b in raw.values())
+    want = {i: 1 if lengths[len(b)] < 2 else 2 if prefixes[len(b), b[: exact_dedup.PREFIX_BYTES]] < 2 else 3 for i, b in raw.items()}
+    assert {r.doc_id: r.level for r in exact_dedup.exact_dedup(frame(spark, rows), level=True).collect()} == want
+    assert set(want.values()) == {1, 2, 3}
+
+
 def minimax_brute(sizes, shards):
     low, high = max(max(sizes), -(-sum(sizes) // shards)), sum(sizes)
     while low < high:
@@ -417,7 +433,12 @@ def test_line_runs_levels(spark):
     added = [runs.add(spark.createDataFrame(b, "doc_id long, hash binary")) for b in batches]
     assert [len(level) for level in runs.levels] == [1, 1]
     assert {(bytes(r.hash), r.n, r.holder) for r in added[1].collect()} == {(b"a", 1, None), (b"c", 1, 6)}
-    assert {(bytes(r.hash), r.n, r.holder) for r in runs.state().collect()} == {(b"a", 3, 9), (b"b", 2, 8), (b"c", 1, 6), (b"d", 1, 4)}
+    state = runs.state()
+    assert {(bytes(r.hash), r.n, r.holder) for r in state.collect()} == {(b"a", 3, 9), (b"b", 2, 8), (b"c", 1, 6), (b"d", 1, 4)}
+    assert "Exchange" not in state._jdf.queryExecution().executedPlan().toString()
+    tables = [r.table for r in runs.runs()]
+    runs.drop()
+    assert not any(spark.catalog.tableExists(t) for t in tables)
 
 
 def test_sentencepiece(spark):
