@@ -35,12 +35,12 @@ class LineRuns:
     Batches come in descending order of doc_id, so the largest holder of a line is known with the first batch that has
     it: a batch is merge-joined with each run, its lines that no run knows are fresh and keep their holder for good, those
     that a run knows only add to the count. As runs and batches are dealt by the same hash, a run is read where it lies:
-    neither a batch's lookup, nor compaction, nor state() shuffles older runs again. A level that has `fanout` runs is
+    neither a batch's lookup nor the merging of two runs shuffles older runs again. A level that has `fanout` runs is
     compacted into one run of the next level. An empty batch is an empty run; a null holder (a batch of null doc_ids) is
     kept as unknown until a later batch names one.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
         self.buckets, self.stale = partitions(spark), []
 
@@ -59,9 +59,15 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def _merged(self, runs: list[Run]) -> DataFrame:
-        """One row for each line: counts add up, and of its rows at most one names the holder."""
-        rows = reduce(DataFrame.unionByName, [self.spark.table(r.table) for r in runs])
-        return rows.groupBy("hash").agg(F.sum("n").alias("n"), F.first("holder", ignorenulls=True).alias("holder"))
+        """One row for each line: counts add up, and of its rows at most one names the holder. Merge joins of two runs at a
+        time, not a union: Spark 4.1 takes a union of bucketed scans for dealt by hash, but reads them one after the other."""
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = a.join(b.select("hash", F.col("n").alias("more"), F.col("holder").alias("other")), "hash", "full_outer")
+            zero = F.lit(0).cast("long")
+            return joined.select("hash", (F.coalesce("n", zero) + F.coalesce("more", zero)).alias("n"), F.coalesce("holder", "other").alias("holder"))
+
+        return reduce(both, [self.spark.table(r.table) for r in runs])
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch of (doc_id, hash), a line once for each document; returns its run, in which fresh lines have a holder."""
@@ -94,7 +100,7 @@ class LineRuns:
         self.levels, self.stale = [[]], []
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_text, and the columns of docs named in `carry`.
 
     Lines whose key has min_chars code points and is held by min_docs documents stay only in the largest doc_id that
