@@ -449,7 +449,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
 
     def minor(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of postings those whose keys join several components, with c; and of these the rows outside their key's largest component, with its documents to try."""
-        owned = staged(labelled(rows, "doc_id", "c"), "owned-postings")
+        # A document's keys (no more than its length) are labelled in one row, so the join has a row for each document.
+        own = rows.groupBy("doc_id", "n", "heavy", "reach").agg(F.collect_list("key").alias("keys"))
+        owned = staged(labelled(own, "doc_id", "c").select(F.explode("keys").alias("key"), "doc_id", "n", "heavy", "reach", "c"), "owned-postings")
         sizes = owned.groupBy("key", "c").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id"))["doc_id"].alias(f"try_{r}") for r in range(TRIES)])
         top = sizes.groupBy("key").agg(F.max(F.struct("m", "c", *[f"try_{r}" for r in range(TRIES)])).alias("top"), F.count("*").alias("k"), F.sum("m").alias("total")).filter("k > 1").select("key", "top", "total")
         top = staged(top, "open-keys")
