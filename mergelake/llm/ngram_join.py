@@ -163,13 +163,14 @@ class Prefixes:
         """k of a level of sizes; the same for both documents of a pair, as their sizes lie in the same or in neighbouring levels."""
         return max(2, int(math.exp(level * self.step) / 8))
 
-    def rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Single tokens, keys of combinations, and how many tokens are frequent. If the prefix holds a frequent token,
-        the single tokens are all rare ones; if not, there are no combinations and the number is given as 0."""
+    def rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Single tokens, keys of combinations for the document's own level of sizes and for the next, and how many tokens
+        are frequent. If the prefix holds a frequent token, the single tokens are all rare ones; if not, there are no
+        combinations and the number is given as 0."""
         n = len(tokens)
         none = np.zeros(0, np.uint64)
         if not n:
-            return none, none, 0
+            return none, none, none, 0
         weight = np.zeros(n, np.int64)
         if len(self.heavy):
             short = (tokens >> np.uint64(32)).astype(np.uint32)
@@ -181,14 +182,14 @@ class Prefixes:
         need = self.overlap(n)
         prefix = n - need + 1
         if prefix <= rare:
-            return tokens[:prefix], none, 0
+            return tokens[:prefix], none, none, 0
         level = int(math.floor(math.log(n) / self.step + 1e-9))
-        out = [none]
+        keys = []
         for tag in (level, level + 1):
             k = min(self._shared(tag), need)
             extended = n - need + k
-            out.append(self._combinations(tokens[rare:extended], tag, self._shared(tag), k))
-        return tokens[:rare], np.unique(np.concatenate(out)), n - rare
+            keys.append(np.unique(self._combinations(tokens[rare:extended], tag, self._shared(tag), k)))
+        return tokens[:rare], *keys, n - rare
 
     def _combinations(self, tokens: np.ndarray, tag: int, shared: int, k: int) -> np.ndarray:
         """Keys of pairs of tokens of a class; with overlaps too small for the level's k, of the single tokens too."""
@@ -275,7 +276,8 @@ def without_ids(docs: DataFrame, ids: DataFrame, keep: bool = False) -> DataFram
 
 
 def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Single tokens packed by class (class, n, blob of token and doc_id), combinations (key, doc_id), and documents whose prefix is not all rare (doc_id, heavy: their frequent tokens)."""
+    """Single tokens packed by class (class, n, blob of token and doc_id), combinations (key, doc_id, own: whether the key
+    is of the document's own level of sizes), and documents whose prefix is not all rare (doc_id, heavy: their frequent tokens)."""
     order = docs.sparkSession.sparkContext.broadcast((prefixes.heavy, prefixes.holders, prefixes.percent))
 
     def rows(batches):
@@ -291,18 +293,19 @@ def index_rows(docs: DataFrame, prefixes: Prefixes, width: int, classes: int) ->
             if len(tokens):
                 packs = [(c, s.stop - s.start, _packed(tokens[s], of[s])) for c, s in _by_class(tokens, classes)]
                 yield pa.RecordBatch.from_arrays([pa.array(["single"] * len(packs)), *(pa.array([o[i] for o in packs], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names)
-            keys = np.concatenate([f[1] for f in found]).view(np.int64)
-            if len(keys):
-                of = np.repeat(ids, [len(f[1]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(["several"] * len(keys)), pa.array(keys), pa.array(of), pa.nulls(len(keys), pa.binary())], names)
-            mixed = [(i, f[2]) for i, f in zip(ids.tolist(), found) if f[2]]
+            for level, kind in ((1, "several"), (2, "several-next")):
+                keys = np.concatenate([f[level] for f in found]).view(np.int64)
+                if len(keys):
+                    of = np.repeat(ids, [len(f[level]) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(keys), pa.array(of), pa.nulls(len(keys), pa.binary())], names)
+            mixed = [(i, f[3]) for i, f in zip(ids.tolist(), found) if f[3]]
             if mixed:
                 yield pa.RecordBatch.from_arrays([pa.array(["mixed"] * len(mixed)), *(pa.array(c, pa.int64()) for c in zip(*mixed)), pa.nulls(len(mixed), pa.binary())], names)
 
     names = ["kind", "id", "n", "data"]
     docs.select("doc_id", "text").mapInArrow(rows, "kind string, id long, n long, data binary").write.partitionBy("kind").parquet(path := _path(docs, "token-index"))
     both = docs.sparkSession.read.schema("id long, n long, data binary, kind string").parquet(path)
-    return both.filter("kind = 'single'").select("id", "n", "data"), both.filter("kind = 'several'").select(F.col("id").alias("key"), F.col("n").alias("doc_id")), both.filter("kind = 'mixed'").select(F.col("id").alias("doc_id"), F.col("n").alias("heavy"))
+    return both.filter("kind = 'single'").select("id", "n", "data"), both.filter("kind IN ('several', 'several-next')").select(F.col("id").alias("key"), F.col("n").alias("doc_id"), (F.col("kind") == "several").alias("own")), both.filter("kind = 'mixed'").select(F.col("id").alias("doc_id"), F.col("n").alias("heavy"))
 
 
 def single_pairs(singles: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -431,7 +434,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, frequ
     reach = F.when(~F.col("partial"), F.floor(F.col("heavy") * (100 + percent) / percent + 1e-9) - F.col("n"))
     wide = long_lists.join(mixed.filter("partial"), "doc_id").select("key").distinct().withColumn("wide", F.lit(True))
     wide = long_lists.join(wide, "key", "left").select("key", "doc_id", F.coalesce("wide", F.lit(False)).alias("wide"))
-    postings = several.withColumn("wide", F.lit(False)).unionByName(wide).groupBy("key", "doc_id").agg(F.max("wide").alias("wide"))
+    # Two documents of a level meet under its own keys, those of neighbouring levels under the larger one's own; so a key
+    # that no document holds for its own level joins nothing that isn't met elsewhere.
+    owned_keys = several.filter("own").select("key").distinct()
+    several = several.filter("own").unionByName(several.filter("NOT own").join(owned_keys, "key", "left_semi")).select("key", "doc_id", F.lit(False).alias("wide"))
+    postings = several.unionByName(wide).groupBy("key", "doc_id").agg(F.max("wide").alias("wide"))
     postings = postings.join(mixed.withColumn("reach", reach), "doc_id").filter(F.col("wide") | F.col("reach").isNull() | (100 * F.col("reach") >= percent * F.col("n")))
     postings = staged(postings.drop("wide", "partial"), "postings")
     # Leaders: the smallest document, and the one with most frequent tokens for its size, which a group's copies differ least from.
