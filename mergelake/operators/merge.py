@@ -159,19 +159,49 @@ def candidate_rows(staged: DataFrame, spec: TableSpec) -> DataFrame:
     return staged.filter(~F.col("exists")).select("pk", "least_key", *out)
 
 
-def constraint_failures(staged: DataFrame, state: DataFrame, spec: TableSpec) -> DataFrame:
-    """(pk, status) of rows to insert that lack a required value or repeat a unique one, stored or inserted before (by clock, then key)."""
+def constraint_failures(staged: DataFrame, state: DataFrame, spec: TableSpec, save: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
+    """(pk, status) of rows to insert that lack a required value or repeat a unique one, stored or inserted before (by clock, then key).
+
+    A row that fails doesn't stand in another's way: rows without a required value and those that meet a stored one go
+    first, and only rows that are inserted take their values.
+    """
     rows = candidate_rows(staged, spec)
-    failures = [rows.limit(0).select("pk", F.lit(NOT_NULL).alias("status"))]
-    if spec.required:
-        failures.append(rows.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec.required])).select("pk", F.lit(NOT_NULL).alias("status")))
-    for columns in spec.unique:
-        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-        own = rows.filter(whole)
-        failures.append(own.join(state.filter(whole).select(*columns).distinct(), list(columns), "left_semi").select("pk", F.lit(UNIQUE).alias("status")))
-        first = own.groupBy(*columns).agg(F.min(F.struct("least_key", "pk")).alias("first"))
-        failures.append(own.join(first, list(columns)).filter(F.col("first.pk") != F.col("pk")).select("pk", F.lit(UNIQUE).alias("status")))
-    return reduce(DataFrame.unionByName, failures).groupBy("pk").agg(F.min("status").alias("status"))
+    lacking = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in spec.required], F.lit(False))
+    failed = rows.filter(lacking).select("pk", F.lit(NOT_NULL).alias("status"))
+    if not spec.unique:
+        return failed
+    open_rows = rows.filter(~lacking)
+
+    def whole(columns) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
+
+    def sharing(own: DataFrame, taken: DataFrame) -> DataFrame:
+        """Keys of own rows that have a unique value of the taken rows."""
+        return reduce(DataFrame.unionByName, [own.filter(whole(u)).join(taken.filter(whole(u)).select(*u).distinct(), list(u), "left_semi").select("pk") for u in spec.unique]).distinct()
+
+    def not_first(own: DataFrame) -> DataFrame:
+        """Keys of own rows that an earlier one shares a unique value with."""
+        parts = []
+        for u in spec.unique:
+            first = own.filter(whole(u)).groupBy(*u).agg(F.min(F.struct("least_key", "pk")).alias("first"))
+            parts.append(own.filter(whole(u)).join(first, list(u)).filter(F.col("first.pk") != F.col("pk")).select("pk"))
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    stored = sharing(open_rows, state)
+    refused = [stored]
+    open_rows = open_rows.join(stored, "pk", "left_anti")
+    if len(spec.unique) == 1:
+        refused.append(not_first(open_rows))
+    else:
+        # With several unique sets a row's rival may itself be refused. Each round admits the rows that no open row comes
+        # before, one at least, and refuses those that share a value with them.
+        open_rows = save("open-rows", open_rows)
+        while not open_rows.isEmpty():
+            admitted = save("admitted-rows", open_rows.join(not_first(open_rows), "pk", "left_anti"))
+            rest = open_rows.join(admitted.select("pk"), "pk", "left_anti")
+            refused.append(lost := save("refused-rows", sharing(rest, admitted)))
+            open_rows = save("open-rows", rest.join(lost, "pk", "left_anti"))
+    return failed.unionByName(reduce(DataFrame.unionByName, refused).distinct().select("pk", F.lit(UNIQUE).alias("status")))
 
 
 def merge_rows(state: DataFrame, staged: DataFrame, spec: TableSpec) -> DataFrame:
@@ -213,12 +243,12 @@ def apply_batch(
     now: int,
     decide: Callable[[DataFrame], DataFrame | None] = lambda batch: None,
     save: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
-    on_constraint: str = "skip",
+    on_constraint: str = "abort",
 ) -> Outcome:
     """Merge a batch (change records with input_index) into the tables, deleted_rows among them.
 
     decide: the policy's rejections (input_index) of eligible changes. save: stores a table and returns it reread; with
-    the default, plans are carried on. on_constraint: skip a row that can't be inserted, or abort.
+    the default, plans are carried on. on_constraint: abort for a row that can't be inserted, or skip it.
     Keys are canonicalised before rows are grouped, so spellings of one key are one row. Tombstones of this batch act
     after all rows, on every target; those merely superseded or stale act again, those refused don't.
     """
@@ -239,7 +269,7 @@ def apply_batch(
         own = save(f"classified-{name}", own)
         staged = staged_rows(own)
         if spec.required or spec.unique:
-            failed = save(f"constraints-{name}", constraint_failures(staged, state, spec))
+            failed = save(f"constraints-{name}", constraint_failures(staged, state, spec, save))
             if on_constraint == "abort" and not failed.isEmpty():
                 raise EngineError(f"rows can't be inserted into {name!r}")
             own = own.join(failed.withColumnRenamed("status", "failed"), "pk", "left").withColumn("status", F.when(F.col("status") == APPLIED, F.coalesce("failed", "status")).otherwise(F.col("status"))).drop("failed")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mergelake.functions.codec import change_json, encode_value, pk_json
 from mergelake.functions.hlc import hlc_key, is_from_node
 from mergelake.operators.schema import CHANGE, COLUMN_HLCS, COLUMN_SIGS, METADATA, ROW_HLC, MissingMetadata, TableSpec, ValidationError, is_safe_identifier
+from mergelake.sources.staging import staging
 
 #: Fixed value: bytes of a page.
 PAGE_BYTES = 104_857_600
@@ -98,60 +99,62 @@ def group_sizes(changes: DataFrame, hlc: str = "hlc_timestamp", record=None) ->
     return changes.groupBy(F.col(hlc).alias("hlc")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).select(hlc_key("hlc").alias("key"), "hlc", "n", (F.col("bytes") + F.col("n") + 1).alias("bytes"))
 
 
+def _dealt(sizes: DataFrame) -> tuple[DataFrame, list]:
+    """sizes, written once in clock order with the number of its range (part), and for each range its sum, count and last transaction, in order.
+
+    Clocks are taken apart once for each transaction, not in every later filter. As many rows come back as there are ranges.
+    """
+    spark = sizes.sparkSession
+    ranged = sizes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "hlc").withColumn("part", F.spark_partition_id())
+    dealt = staging(spark)("transactions", ranged)
+    parts = dealt.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max(F.struct("key", "hlc")).alias("end")).orderBy("part").collect()
+    return dealt, parts
+
+
+def _running_bytes():
+    """Bytes of a range's transactions up to each."""
+    return F.sum("bytes").over(Window.partitionBy("part").orderBy("key", "hlc"))
+
+
 def first_page(changes: DataFrame, budget: int = PAGE_BYTES, hlc: str = "hlc_timestamp", record=None) -> tuple[DataFrame, bool]:
     """The oldest transactions that fit the budget, one at least, whole; and whether there are more.
 
-    Running sums go over one row per transaction. To keep that table small at any history, transactions are summed by
-    coarse clock ranges first and only the range in which the budget runs out is walked one by one.
+    Running sums go over one row per transaction: sums of clock ranges first, then within the one range in which the
+    budget runs out.
     """
-    sizes = group_sizes(changes, hlc, record)
-    last, more = _page_end(sizes, budget)
+    dealt, parts = _dealt(group_sizes(changes, hlc, record))
+    last, more, spent = None, False, 0
+    for k, part in enumerate(parts):
+        if spent + part["bytes"] <= budget:
+            last, spent = part["end"], spent + part["bytes"]
+            continue
+        within = dealt.filter(F.col("part") == part["part"]).withColumn("total", _running_bytes() + spent)
+        place = F.struct("key", "hlc")
+        ends = within.agg(F.max(F.when(F.col("total") <= budget, place)).alias("fits"), F.min(place).alias("first")).first()
+        more = True
+        if ends["fits"] is not None:
+            last = ends["fits"]
+        elif last is None:  # the oldest transaction alone is over the budget
+            last, more = ends["first"], part["n"] > 1 or k + 1 < len(parts)
+        break
     if last is None:
         return changes.limit(0), False
-    key, text = last
     mine = hlc_key(hlc)
-    return changes.filter((mine < key) | ((mine == key) & (F.col(hlc) <= text))), more
-
-
-#: Ranges into which the transactions' times are cut for the first step of the search for a page's end.
-RANGES = 1024
-
-
-def _page_end(sizes: DataFrame, budget: int) -> tuple[tuple[str, str] | None, bool]:
-    """(key, clock) of the last transaction of the page, and whether more follow."""
-    time = F.substring("key", 1, 20)
-    edges = sizes.select(F.percentile_approx(time.cast("decimal(20,0)"), [k / RANGES for k in range(1, RANGES)], 4 * RANGES)).first()[0]
-    if not edges:
-        return None, False
-    edges = sorted({str(e).rjust(20, "0") for e in edges})
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < time))
-    placed, spent, last = sizes.withColumn("range", place), 0, None
-    ranges = placed.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("key", "hlc")).alias("end")).orderBy("range").collect()
-    for k, r in enumerate(ranges):
-        if spent + r["bytes"] > budget:
-            last, more = _walk(placed.filter(F.col("range") == r["range"]), budget, spent, last)
-            # A range walked to its end is one transaction over the budget: whatever other ranges hold comes later.
-            return last, more or k + 1 < len(ranges)
-        spent += r["bytes"]
-        last = (r["end"]["key"], r["end"]["hlc"])
-    return last, False
-
-
-def _walk(sizes: DataFrame, budget: int, spent: int, last: tuple[str, str] | None) -> tuple[tuple[str, str] | None, bool]:
-    for r in sizes.orderBy("key", "hlc").toLocalIterator():
-        if last is not None and spent + r["bytes"] > budget:
-            return last, True
-        spent += r["bytes"]
-        last = (r["key"], r["hlc"])
-    return last, False
+    return changes.filter((mine < last["key"]) | ((mine == last["key"]) & (F.col(hlc) <= last["hlc"]))), more
 
 
 def page_groups(sizes: DataFrame, budget: int = PAGE_BYTES) -> DataFrame:
-    """Declarative form over one row per transaction (hlc, key, n, bytes): those of the first page, and whether more follow."""
-    order = Window.orderBy("key", "hlc")
-    sums = sizes.withColumns({"total": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(order)})
-    sums = sums.withColumn("fits", (F.col("total") <= budget) | (F.col("rank") == 1))
-    return sums.withColumn("has_more", F.max(~F.col("fits")).over(Window.partitionBy())).filter("fits").drop("fits")
+    """Over one row per transaction (hlc, key, n, bytes): those of the first page with running totals, and whether more follow."""
+    dealt, parts = _dealt(sizes)
+    bases, spent = [], 0
+    for part in parts:
+        bases.append((part["part"], spent))
+        spent += part["bytes"]
+    more = spent > budget and sum(part["n"] for part in parts) > 1
+    base = sizes.sparkSession.createDataFrame(bases, "part int, base long")
+    sums = dealt.join(F.broadcast(base), "part").withColumn("total", _running_bytes() + F.col("base"))
+    first = F.col("total") == F.col("bytes")
+    return sums.filter((F.col("total") <= budget) | first).withColumn("has_more", F.lit(more)).drop("part", "base")
 
 
 def pages(changes: DataFrame, budget: int = PAGE_BYTES, hlc: str = "hlc_timestamp", record=None) -> DataFrame:

@@ -69,6 +69,45 @@ def tables_in(spark: SparkSession, text: str) -> list[str]:
     return [n for n in dict.fromkeys(normalize_table_name(f) for f in found) if n not in defined]
 
 
+#: Functions that call into the JVM, and table functions that read nothing but their arguments.
+CALLS = frozenset({"reflect", "java_method", "try_reflect"})
+TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"})
+
+
+def _iterated(each):
+    each = each.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def reaches_out(spark: SparkSession, text: str) -> str | None:
+    """What in the statement reaches beyond the store's tables: code of the JVM, files named as tables, other table functions."""
+    plans = [logical_plan(spark, text)]
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "UnresolvedRelation" and plan.multipartIdentifier().length() > 1:
+            return f"table {plan.tableName()}"
+        if name == "UnresolvedTableValuedFunction" and plan.name().mkString(".").lower() not in TABLE_FUNCTIONS:
+            return f"table function {plan.name().mkString('.')}"
+        if name in ("UnresolvedWith", "CTE"):
+            plans += [pair._2() for pair in _iterated(plan.cteRelations())]
+        plans += [*_iterated(plan.children()), *_iterated(plan.subqueries())]
+        expressions = [*_iterated(plan.expressions())]
+        while expressions:
+            own = expressions.pop()
+            if own.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator") and (called := _called(own).lower()) in CALLS:
+                return f"function {called}"
+            expressions += [*_iterated(own.children())]
+    return None
+
+
+def _called(function) -> str:
+    if function.getClass().getSimpleName() == "UnresolvedGenerator":
+        return function.name().funcName()
+    return function.nameParts().last()
+
+
 @dataclass(frozen=True)
 class Guard:
     """tables: those that may be read (None: all). seconds: time limit of run()."""
@@ -79,6 +118,8 @@ class Guard:
     def check(self, spark: SparkSession, text: str) -> None:
         if not is_query(spark, text):
             raise StatementRefused("only statements that read are allowed")
+        if out := reaches_out(spark, text):
+            raise StatementRefused(f"{out} isn't open to statements")
         if self.tables is not None and (bad := [t for t in tables_in(spark, text) if t not in self.tables]):
             raise StatementRefused(f"tables {bad} aren't open to this statement")
 

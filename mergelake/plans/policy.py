@@ -86,8 +86,8 @@ class ApplyPolicy:
         """After a table's rows are merged."""
 
     def on_constraint(self) -> str:
-        """skip or abort, when rows can't be inserted."""
-        return "skip"
+        """abort or skip, when rows can't be inserted. Skipping loses them, so it has to be asked for."""
+        return "abort"
 
     def before_commit(self, outcome) -> None:
         """Last chance to raise."""

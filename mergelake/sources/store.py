@@ -265,33 +265,54 @@ class Transaction:
         return new
 
     def _reject_duplicates(self, new: DataFrame, spec: TableSpec, name: str) -> None:
+        """Required values, keys and unique values, within the rows and against the table; NULLs repeat freely in unique columns."""
         from mergelake.functions.codec import pk_json
 
-        null_key = new.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in spec.required], F.lit(False)))
+        self._reject_missing(new, spec, spec.required)
         pk = new.select(pk_json(spec.keys).alias("pk"))
         repeated = pk.groupBy("pk").count().filter("count > 1").select("pk").unionByName(pk.join(self.table(name).select(pk_json(spec.keys).alias("pk")), "pk", "left_semi"))
-        if not null_key.isEmpty():
-            raise EngineError(f"required values are missing in rows for {name!r}")
         if spec.pks and not repeated.isEmpty():
             raise EngineError(f"keys of rows for {name!r} exist or repeat")
+        self._reject_repeats(self.table(name).select(*spec.names).unionByName(new.select(*spec.names)), spec)
+
+    def _reject_missing(self, written: DataFrame, spec: TableSpec, columns) -> None:
+        if columns and not written.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in columns])).isEmpty():
+            raise EngineError(f"required values are missing in rows for {spec.name!r}")
+
+    def _reject_repeats(self, rows: DataFrame, spec: TableSpec) -> None:
+        """Refuse a table's rows, as they would be stored, if a unique value repeats."""
+        for columns in spec.unique:
+            whole = rows.filter(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
+            if not whole.groupBy(*[F.col(f"`{c}`") for c in columns]).count().filter("count > 1").isEmpty():
+                raise EngineError(f"values of {list(columns)} repeat in {spec.name!r}")
 
     def upsert(self, name: str, rows: DataFrame, update: list[str] | None = None) -> None:
         spec = self._spec(name)
+        cap.check_written(rows, spec)
         self._charge(rows, spec)
-        self._put(name, self._sign(cap.upsert(self.table(name), rows, spec, self.hlc, update), spec))
+        stored = self._sign(cap.upsert(self.table(name), rows, spec, self.hlc, update), spec)
+        self._reject_missing(stored.filter(F.col(ROW_HLC) == self.hlc), spec, spec.required)
+        self._reject_repeats(stored, spec)
+        self._put(name, stored)
 
     def update(self, name: str, assign: dict[str, Column], where: Column | None = None) -> DataFrame:
-        """Assign to matching rows; returns these as stored."""
+        """Assign to matching rows; returns these as stored (keys can't be assigned, so they name the rows)."""
+        from mergelake.functions.codec import pk_json
+
         spec = self._spec(name)
         where = F.lit(True) if where is None else where
         state = self.table(name)
         if used := [c for c in assign if c in METADATA]:
             raise ValidationError(f"metadata columns can't be written: {used}")
         new, changed = cap.update_rows(state, spec, where, assign, self.hlc if spec.synced else None)
+        self._reject_missing(state.filter(where).select(*[v.alias(c) for c, v in assign.items()]), spec, [c for c in spec.required if c in assign])
+        self._reject_repeats(new, spec)
         self._charge(state.filter(where).select(*[v.cast(spec.kind(c)).alias(c) for c, v in assign.items()]), spec)
         dirty = spec.synced and not state.filter(changed).limit(1).isEmpty()
+        matched = self.store.save(f"matched-{name}", state.filter(where).select(pk_json(spec.keys).alias("__pk")))
         self._put(name, self._sign(new, spec), dirty)
-        return self.table(name).filter(F.col(ROW_HLC) == self.hlc) if spec.synced else state.filter(where)
+        stored = self.table(name)
+        return stored.withColumn("__pk", pk_json(spec.keys)).join(matched, "__pk", "left_semi").select(*stored.columns)
 
     def delete(self, name: str, where: Column) -> None:
         """Delete matching rows and log their keys."""
@@ -312,6 +333,8 @@ class Transaction:
         spec = self._spec(name)
         cap.check_written(rows, spec)
         stamped, deleted, kinds = cap.capture(self.table(name), rows, spec, self.hlc)
+        self._reject_missing(stamped, spec, spec.required)
+        self._reject_repeats(stamped, spec)
         kinds = self.store.save(f"diff-{name}", kinds)
         if kinds.filter("dirty OR kind <> 'same'").isEmpty():
             return
@@ -332,6 +355,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, config: StoreConfig, writable: bool = True):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
         self.observers: list[Callable[[list[str]], None]] = []
+        self._writing = 0
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path = lambda name: path(f"{self.root}/{name}" if name else self.root)
         self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -397,7 +421,10 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove data that none of the newest `keep` manifests uses, and older manifests."""
+        """Remove data that none of the newest `keep` manifests uses, and older manifests. Only the writer may, and not within
+        a transaction, whose rows no manifest names yet. Readers that pin an older manifest than those kept lose their files."""
+        if self._closed_for_writing() or self._writing:
+            raise EngineError("vacuum needs the writer's store, outside a transaction")
         versions = self._versions()
         used: set[str] = set()
         for v in versions[-keep:]:
@@ -437,13 +464,20 @@ class Store:
     @contextlib.contextmanager
     def write(self, check_foreign_keys: bool = False) -> Iterator[Transaction]:
         """A transaction: commits at the end of the block, or not at all."""
-        if self._lock is None and re.fullmatch(r"(?:file:/*)?(/?[^:]*)", self.root):
+        if self._closed_for_writing():
             raise StoreLocked("the store is open for reading")
         tx = Transaction(self, self.snapshot())
-        yield tx
-        if check_foreign_keys:
-            tx.check_foreign_keys()
-        self._commit(tx.base.manifest, tx.frames, tx.specs, tx.dirtied, tx.touched)
+        self._writing += 1
+        try:
+            yield tx
+            if check_foreign_keys:
+                tx.check_foreign_keys()
+            self._commit(tx.base.manifest, tx.frames, tx.specs, tx.dirtied, tx.touched)
+        finally:
+            self._writing -= 1
+
+    def _closed_for_writing(self) -> bool:
+        return self._lock is None and re.fullmatch(r"(?:file:/*)?(/?[^:]*)", self.root) is not None
 
     def _commit(self, base: dict, frames: dict[str, DataFrame], specs: dict[str, TableSpec], dirtied: set[str], touched: set[str]) -> None:
         tables = {n: p for n, p in base["tables"].items() if n in specs}
@@ -486,6 +520,8 @@ class Store:
         if "input_index" not in batch.columns:
             batch = batch.withColumn("input_index", F.monotonically_increasing_id())
         batch = self.save("inbound", batch.select(*BATCH.fieldNames()))
+        # Names, clocks and drift come before the policy: it sees no batch that is refused anyway.
+        merge.preflight(batch, self.clock.now())
         policy.preflight(batch)
         base = self.snapshot()
         tables = {n: base.table(n) for n in base.names()}

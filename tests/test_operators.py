@@ -184,11 +184,28 @@ def test_constraints(spark):
     spec = TableSpec.of("d", "id string, alias string, first_seen string", ["id"], required=("first_seen",), unique=(("alias",),))
     now = {"d": state(spark, spec, [("z", "taken", "t", "1/1", {})])}
     rows = [("d", '{"id":"a"}', "alias", "5/1", '"x"'), ("d", '{"id":"b"}', "alias", "5/1", '"taken"'), ("d", '{"id":"b"}', "first_seen", "5/1", '"t"'), ("d", '{"id":"c"}', "alias", "6/1", '"dup"'), ("d", '{"id":"c"}', "first_seen", "6/1", '"t"'), ("d", '{"id":"e"}', "alias", "5/1", '"dup"'), ("d", '{"id":"e"}', "first_seen", "5/1", '"t"')]
-    out = merge.apply_batch(now, {"d": spec}, batch(spark, rows), NOW, save=staging(spark))
+    out = merge.apply_batch(now, {"d": spec}, batch(spark, rows), NOW, save=staging(spark), on_constraint="skip")
     assert [statuses(out)[i] for i in range(7)] == ["insert_not_null", "insert_unique", "insert_unique", "insert_unique", "insert_unique", "applied", "applied"]
     assert sorted(table(out.tables["d"])) == ["e", "z"] and out.report()["skipped_insert_constraint"] == 5
     with pytest.raises(EngineError, match="can't be inserted"):
-        merge.apply_batch(now, {"d": spec}, batch(spark, rows), NOW, save=staging(spark), on_constraint="abort")
+        merge.apply_batch(now, {"d": spec}, batch(spark, rows), NOW, save=staging(spark))
+
+
+def cells(table, pk, hlc, **values):
+    return [(table, f'{{"id":"{pk}"}}', c, hlc, f'"{v}"') for c, v in values.items()]
+
+
+def test_failed_row_takes_no_value(spark):
+    """A row that can't be inserted doesn't keep a whole one out, for one unique set or several."""
+    spec = TableSpec.of("d", "id string, alias string, first_seen string", ["id"], required=("first_seen",), unique=(("alias",),))
+    rows = cells("d", "a", "5/1", alias="x") + cells("d", "b", "6/1", alias="x", first_seen="t")
+    out = merge.apply_batch({"d": state(spark, spec)}, {"d": spec}, batch(spark, rows), NOW, save=staging(spark), on_constraint="skip")
+    assert sorted(table(out.tables["d"])) == ["b"]
+    spec = TableSpec.of("e", "id string, one string, two string", ["id"], unique=(("one",), ("two",)))
+    # b meets a by one, c meets b by two only: b is refused, so c is inserted; d meets c.
+    rows = cells("e", "a", "1/1", one="p", two="q") + cells("e", "b", "2/1", one="p", two="r") + cells("e", "c", "3/1", one="s", two="r") + cells("e", "d", "4/1", one="s", two="t")
+    out = merge.apply_batch({"e": state(spark, spec)}, {"e": spec}, batch(spark, rows), NOW, save=staging(spark), on_constraint="skip")
+    assert sorted(table(out.tables["e"])) == ["a", "c"]
 
 
 # Scans

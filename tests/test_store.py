@@ -225,6 +225,84 @@ def test_clock():
         node_of("00000000-0000-0000-0000-000000000000")
 
 
+def test_local_writes_keep_constraints(spark, tmp_path):
+    store = opened(spark, tmp_path / "s")
+    with store.write() as tx:
+        tx.create_table("people", "id string, alias string, since string", ["id"], required=("since",), unique=(("alias",),))
+        tx.insert("people", spark.createDataFrame([("a", "x", "1"), ("b", None, "1"), ("c", None, "1")], "id string, alias string, since string"))
+    people = lambda *rows: spark.createDataFrame(list(rows), "id string, alias string, since string")
+    faults = [
+        (lambda tx: tx.insert("people", people(("d", "x", "1"))), "repeat"),
+        (lambda tx: tx.insert("people", people(("d", "y", "1"), ("e", "y", "1"))), "repeat"),
+        (lambda tx: tx.insert("people", people(("d", "y", None))), "missing"),
+        (lambda tx: tx.upsert("people", people(("b", "x", "1")), ["alias"]), "repeat"),
+        (lambda tx: tx.upsert("people", people(("d", "y", None))), "missing"),
+        (lambda tx: tx.update("people", {"alias": F.lit("x")}, F.col("id") == "b"), "repeat"),
+        (lambda tx: tx.update("people", {"since": F.lit(None).cast("string")}, F.col("id") == "b"), "missing"),
+        (lambda tx: tx.replace("people", people(("a", "x", "1"), ("b", "x", "1"))), "repeat"),
+        (lambda tx: tx.upsert("people", spark.createDataFrame([("a", 1)], "id string, nowhere int"), ["nowhere"]), "unknown columns"),
+    ]
+    for write, said in faults:
+        with pytest.raises(EngineError, match=said), store.write() as tx:
+            write(tx)
+    assert {i: r["alias"] for i, r in rows_of(store, "people").items()} == {"a": "x", "b": None, "c": None}
+
+
+def test_update_returns_its_rows_only(spark, tmp_path):
+    store = opened(spark, tmp_path / "s")
+    create(store)
+    with store.write() as tx:
+        tx.insert("items", items(spark, ("1", "a"), ("2", "b")))
+    with store.write() as tx:
+        tx.insert("items", items(spark, ("3", "c")))
+        assert [(r.id, r.body) for r in tx.update("items", {"body": F.lit("z")}, F.col("body") == "a").collect()] == [("1", "z")]
+
+
+def test_vacuum_spares_a_running_write(spark, tmp_path):
+    store = opened(spark, tmp_path / "s")
+    create(store)
+    with store.write() as tx:
+        tx.insert("items", items(spark, ("1", "a")))
+        with pytest.raises(EngineError, match="outside a transaction"):
+            store.vacuum()
+    store.vacuum()
+    assert set(rows_of(store)) == {"1"}
+    with pytest.raises(EngineError, match="writer"):
+        opened_for_reading = Store(spark, str(tmp_path / "s"), StoreConfig(A, now=Ticks()), writable=False)
+        opened_for_reading.vacuum()
+
+
+def test_preflight_comes_before_the_policy(spark, tmp_path):
+    """A batch with a bad name and a bad signature is refused for the name."""
+    store = opened(spark, tmp_path / "s", signatures=DigestSignatures("a", {"a": "k"}))
+    create(store)
+    row = ("items; drop", '{"id":"x"}', "body", "5/1", '"v"', "d", '{"author":"a","digest":"no"}')
+    with pytest.raises(ValidationError, match="invalid table name"):
+        store.apply(spark.createDataFrame([row], "table_name string, row_pks string, column_name string, hlc_timestamp string, value string, device_id string, sig string"))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT 1 WHERE 'a' = java_method('java.lang.System', 'setProperty', 'a', 'b')",
+        "SELECT (SELECT max(try_reflect('java.lang.System', 'getProperty', 'x'))) AS y",
+        "WITH x AS (SELECT reflect('a.B', 'c') AS y) SELECT * FROM x",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc/hostname`)",
+        "SELECT * FROM python_worker_logs()",
+    ],
+)
+def test_guard_keeps_statements_inside(spark, text):
+    with pytest.raises(StatementRefused):
+        Guard().check(spark, text)
+
+
+def test_guard_lets_plain_reads_pass(spark):
+    for text in ("SELECT count(*), max(upper('a')) FROM range(3)", "SELECT explode(array(1, 2))", "SELECT 'reflect(x)' AS t"):
+        Guard().check(spark, text)
+
+
 def test_guard(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     assert Guard(frozenset({"numbers"})).run(spark, "WITH x AS (SELECT id FROM numbers) SELECT * FROM x UNION SELECT 9", 10)
