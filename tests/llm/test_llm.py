@@ -386,6 +386,51 @@ def test_syncmers_by_definition():
     assert all((text[s : s + K] in chosen) == (s in set(starts.tolist())) for s in range(len(text) - K + 1))
 
 
+def test_syncmers_have_their_least_substring_at_an_edge():
+    """The definition in plain Python, k-mer by k-mer."""
+    from mergelake.llm.fingerprints import K, S, syncmers
+
+    word = 2**64 - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) & word
+        x = ((x ^ (x >> 27)) * 0x81DADEF4BC2DD44D) & word
+        return x ^ (x >> 33)
+
+    def value(part):
+        h = 0
+        for c in part:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & word
+        return mixed(h)
+
+    for seed, letters in ((1, "ab"), (2, "abcdefgh "), (3, "aé漢😀z ")):
+        text = "".join(random.Random(seed).choices(letters, k=700))
+        want = []
+        for s in range(len(text) - K + 1):
+            inner = [value(text[s + j : s + j + S]) for j in range(K - S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append(s)
+        assert syncmers(np.asarray([ord(c) for c in text], np.uint32))[0].tolist() == want
+
+
+def test_likeness_by_definition():
+    """The most common anchors whose shifts lie within DRIFT, over the smaller fingerprint; every shift tried as the least."""
+    from mergelake.llm.fingerprints import DRIFT, likeness
+
+    rng = random.Random(4)
+    for _ in range(200):
+        def some():
+            hashes = sorted(rng.sample(range(40), rng.randint(0, 32)))
+            return np.asarray(hashes, np.uint32), np.asarray([rng.randint(0, 400) for _ in hashes], np.uint32)
+
+        a, b = some(), some()
+        of_a, of_b = dict(zip(*(x.tolist() for x in a))), dict(zip(*(x.tolist() for x in b)))
+        shifts = [of_a[h] - of_b[h] for h in of_a.keys() & of_b.keys()]
+        most = max((sum(low <= x <= low + DRIFT for x in shifts) for low in shifts), default=0)
+        want = most / min(len(of_a), len(of_b)) if of_a and of_b else float(not of_a and not of_b)
+        assert likeness(a, b) == pytest.approx(want)
+
+
 def test_token_counts(spark):
     from mergelake.llm.token_counts import token_counts
 
@@ -496,3 +541,27 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, SF)
         assert now.columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash string, key string, line string"
+    line = "a line that several of the documents hold\n"
+    texts = [(1, None), (2, ""), (3, line + "x"), (4, line), (4, line), (5, line + "y"), (None, line), (None, None), (7, "long words " * 300_000 + "\n" + line)]
+    for rows in ([(i, t, None, "s", 0, "h", "k", "l") for i, t in texts], []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SF)
+            assert got.columns == corpus_pipeline.COLUMNS
+            out = got.collect()
+            if name == "lines":
+                assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+                want = lines_brute([(r[0], r[1]) for r in rows if r[0] is not None and r[0] != 4])
+                assert {r.doc_id: r.text for r in out if r.doc_id in (1, 2)} == {i: want[i][2] for i in (1, 2) if i in want}
+                assert all(not r.text for r in out if r.doc_id in (None, 4)) and all("several of" not in r.text for r in out if r.doc_id != 7)
+            if name == "near_duplicates":
+                assert sum(r.doc_id is None for r in out) == sum(r[0] is None for r in rows)
+                assert {1, 2, 7} <= {r.doc_id for r in out} or not rows
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sum(p.length for p in pieces) == sum(len(tokens("byte_bpe_50k.json", r[1])) + 1 for r in rows)
