@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next stage's
 docs. All but the last return the columns of documents. Fingerprints, links and components stay in the cluster.
+
+In every stage a null text counts as empty, a very long one is read whole, repeated rows are rows like others, further
+columns are left behind, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go. It is fitted on labelled rows of the stage's own input."""
+    """Documents that the compression classifier rejects go. It is fitted on labelled rows of the stage's own input.
+
+    Null and empty texts get the score of no difference and stay or go by it, alike; rows without doc_id are scored too;
+    without labels of both classes all stay (score 0.5)."""
     model = fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return keep_good(docs.select(*COLUMNS), model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents share stay in one. No document goes; one that loses all lines has an empty text."""
+    """Lines that three documents share stay in one. No document goes; one that loses all lines has an empty text.
+
+    Null texts become empty ones; a null doc_id holds lines but is never the largest."""
     kept = dedup_lines(docs, carry=("lang", "source"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
@@ -38,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 ids."""
+    """Pieces of all documents in sequences of 2048 ids; a null or empty text is its end id alone, null doc_ids are packed too."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
