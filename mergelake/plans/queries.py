@@ -106,11 +106,8 @@ def customer_changes(spark: SparkSession, sf: str, **more) -> DataFrame:
 
 @registered(f"WITH {SQL_LOG} SELECT row_pks, column_name, hlc AS hlc_timestamp, value FROM (SELECT *, row_number() OVER (PARTITION BY row_pks, column_name ORDER BY key DESC, i) AS rn FROM log) WHERE rn = 1")
 def lww_latest(spark, sf):
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy("row_pks", "column_name").orderBy(F.desc("key"), "input_index")
-    log = event_log(spark, sf).withColumn("key", hlc.hlc_key("hlc_timestamp"))
-    return log.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").select("row_pks", "column_name", "hlc_timestamp", "value")
+    log = event_log(spark, sf).withColumns({"key": hlc.hlc_key("hlc_timestamp"), "stored_key": F.lit(hlc.OLDEST)})
+    return merge.decide_winners(log, ["row_pks", "column_name"]).filter(F.col("status") == merge.APPLIED).select("row_pks", "column_name", "hlc_timestamp", "value")
 
 
 def as_cells(state: DataFrame) -> DataFrame:
@@ -199,10 +196,9 @@ def scan_after_cursor(spark, sf):
     return customer_changes(spark, sf, after_hlc="99/a")
 
 
-@registered(f"WITH {SQL_CUSTOMERS} SELECT row_pks, column_name, hlc_timestamp FROM changes WHERE k % 5 = 0 OR k % 11 = 0")
+@registered(f"WITH {SQL_CUSTOMERS} SELECT row_pks, column_name, hlc_timestamp FROM changes")
 def scan_row_hlc_fallback(spark, sf):
-    k = F.get_json_object("row_pks", "$.c_custkey").cast("long")
-    return customer_changes(spark, sf).filter((k % 5 == 0) | (k % 11 == 0)).select("row_pks", "column_name", "hlc_timestamp")
+    return customer_changes(spark, sf).select("row_pks", "column_name", "hlc_timestamp")
 
 
 @registered(f"WITH {SQL_CUSTOMERS} SELECT {SQL_RECORD} FROM changes WHERE split_part(hlc_timestamp, '/', 2) = 'b'")
@@ -236,9 +232,9 @@ def scan_no_sync_excluded(spark, sf):
     return customer_changes(spark, sf).groupBy("column_name").agg(F.count("*").alias("n"))
 
 
-@registered(f"""WITH {SQL_CUSTOMERS}, {SQL_LOG} SELECT table_name, count(*) AS n, max(key) AS newest FROM (SELECT table_name, key FROM changes UNION ALL SELECT 'profile', key FROM log) GROUP BY table_name""")
+@registered(f"""WITH {SQL_CUSTOMERS}, {SQL_LOG} SELECT table_name, count(*) AS n, max(key) AS newest FROM (SELECT table_name, key FROM changes UNION ALL SELECT 'profile', max(key) FROM log CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS columns(c) GROUP BY user_id, c) GROUP BY table_name""")  # a column that never won falls back to its row's clock
 def feed_of_tables(spark, sf):
-    feed = customer_changes(spark, sf).unionByName(event_log(spark, sf).drop("input_index"))
+    feed = scan.changes_of({"customer": (customers(spark, sf), CUSTOMER), "profile": (profiles(spark, event_log(spark, sf)), PROFILE)})
     return feed.groupBy("table_name").agg(F.count("*").alias("n"), F.max(hlc.hlc_key("hlc_timestamp")).alias("newest"))
 
 
@@ -457,11 +453,12 @@ def unverified_signatures(spark, sf):
     return unverified(event_log(spark, sf).withColumn("sig", sig), SignaturePolicy().provider)
 
 
-@registered("""SELECT '{"turn":' || turn || ',"conv_id":' || conv_id || '}' AS row_pks, count(*) AS n FROM conversations GROUP BY ALL""")
+@registered("""SELECT '{"turn":' || turn || ',"conv_id":' || conv_id || '}' AS row_pks, column_name, count(*) AS n
+  FROM conversations CROSS JOIN (VALUES ('role'), ('text')) AS tracked(column_name) GROUP BY ALL""")
 def composite_pk_order(spark, sf):
     spec = TableSpec.of("conversations", "turn long, conv_id long, role string, text string", ["conv_id", "turn"])
     rows = cap.stamp_inserts(table(spark, sf, "conversations"), spec, "3/c")
-    return scan.scan_changes(rows, spec).filter("column_name = 'role'").groupBy("row_pks").agg(F.count("*").alias("n"))
+    return scan.scan_changes(rows, spec).groupBy("row_pks", "column_name").agg(F.count("*").alias("n"))
 
 
 @registered("SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -528,10 +525,10 @@ def crdt_stats(spark, sf):
 @registered("""WITH source(name, body) AS (VALUES ('0001', 'a'), ('0002', 'b'), ('0004', 'd')), journal(name, digest) AS (VALUES ('0001', sha256('a')), ('0002', sha256('x')), ('0003', sha256('c')))
   SELECT name, CASE WHEN body IS NULL THEN 'missing' WHEN digest IS NULL THEN 'pending' WHEN digest <> sha256(body) THEN 'changed' ELSE 'applied' END AS status FROM source FULL JOIN journal USING (name)""")
 def migration_drift(spark, sf):
-    source = spark.createDataFrame([("0001", "a"), ("0002", "b"), ("0004", "d")], "name string, body string")
-    journal = spark.createDataFrame([("0001", "a"), ("0002", "x"), ("0003", "c")], "name string, was string").select("name", F.sha2("was", 256).alias("digest"))
-    status = F.when(F.col("body").isNull(), "missing").when(F.col("digest").isNull(), "pending").when(F.col("digest") != F.sha2("body", 256), "changed").otherwise("applied")
-    return source.join(journal, "name", "full_outer").select("name", status.alias("status"))
+    from mergelake.sources.store import journal_status, migration_digest
+
+    journal = {name: migration_digest(body) for name, body in {"0001": "a", "0002": "x", "0003": "c"}.items()}
+    return spark.createDataFrame(list(journal_status({"0001": "a", "0002": "b", "0004": "d"}, journal).items()), "name string, status string")
 
 
 @registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'legacy' FROM customer WHERE c_custkey % 2 <> 0")
@@ -548,6 +545,126 @@ def transaction_bytes(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", size.alias("bytes"))
 
 
+# The store: transactions over all customers, in a folder of their own; scans and merges of what they wrote
+
+STORED = "c_custkey long, c_name string, c_nationkey int, c_acctbal_no_sync double, c_mktsegment string"
+DEVICES = ("00000000-0000-0000-0000-000000000001", "00000000-0000-0000-0000-000000000002")
+SQL_WRITTEN = """written AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN 'update' ELSE 'insert' END AS written_by
+  FROM customer WHERE c_custkey % 10 <> 0)"""
+
+
+def opened_store(spark, device: str = DEVICES[0]):
+    """A new store with an empty table of customers."""
+    from mergelake.sources.staging import fresh_folder
+    from mergelake.sources.store import Store, StoreConfig
+
+    store = Store(spark, fresh_folder(spark, "store"), StoreConfig(device, max_transaction_bytes=1 << 50))
+    with store.write() as tx:
+        tx.create_table("customer", STORED, ["c_custkey"])
+    return store
+
+
+def customer_rows(spark, sf):
+    return table(spark, sf, "customer").withColumnRenamed("c_acctbal", "c_acctbal_no_sync")
+
+
+def written_store(spark, sf):
+    """All customers inserted, every fourth renamed, every tenth deleted, each in a commit: the snapshot before the
+    others, the one after all, the clocks of insert and update, and the rows that the update returned."""
+    store, k = opened_store(spark), F.col("c_custkey")
+    with store.write() as tx:
+        tx.insert("customer", customer_rows(spark, sf))
+        inserted = tx.hlc
+    before = store.snapshot()
+    with store.write() as tx:
+        returned = tx.update("customer", {"c_name": F.lit("renamed")}, k % 4 == 0)
+        updated = tx.hlc
+    with store.write() as tx:
+        tx.delete("customer", k % 10 == 0)
+    store.close()
+    return before, store.snapshot(), (inserted, updated), returned
+
+
+@registered(f"WITH {SQL_WRITTEN} SELECT * FROM written")
+def store_written(spark, sf):
+    _, after, (inserted, updated), _ = written_store(spark, sf)
+    by = F.when(F.col(ROW_HLC) == inserted, "insert").when(F.col(ROW_HLC) == updated, "update")
+    return after.table("customer").select("c_custkey", "c_name", by.alias("written_by"))
+
+
+@registered("SELECT c_custkey, 'renamed' AS c_name, c_mktsegment FROM customer WHERE c_custkey % 4 = 0")
+def store_returning(spark, sf):
+    return written_store(spark, sf)[3].select("c_custkey", "c_name", "c_mktsegment")
+
+
+@registered("""SELECT 'customer' AS table_name, '{"c_custkey":' || c_custkey || '}' AS row_pks FROM customer WHERE c_custkey % 10 = 0""")
+def store_delete_log(spark, sf):
+    return written_store(spark, sf)[1].table(DELETED_ROWS).select("table_name", "row_pks")
+
+
+@registered("""SELECT '{"c_custkey":' || c_custkey || '}' AS row_pks, 'c_name' AS column_name, '"renamed"' AS value FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 10 <> 0""")
+def store_scan_after(spark, sf):
+    _, after, (inserted, _), _ = written_store(spark, sf)
+    return after.scan("customer", inserted).select("row_pks", "column_name", "value")
+
+
+@registered(f"WITH {SQL_WRITTEN} SELECT w.c_custkey, w.c_name, c.c_nationkey, c.c_mktsegment, true AS local_is_null FROM written w JOIN customer c USING (c_custkey)")
+def store_apply(spark, sf):
+    """A second store merges the first one's inserts, then its updates and tombstones; local columns stay behind."""
+    before, after, (inserted, _), _ = written_store(spark, sf)
+    other = opened_store(spark, DEVICES[1])
+    other.apply(before.scan("customer"))
+    other.apply(after.scan("customer", inserted).unionByName(after.scan(DELETED_ROWS)))
+    other.close()
+    return other.snapshot().table("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.col("c_acctbal_no_sync").isNull().alias("local_is_null"))
+
+
+@registered("SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name FROM customer c LEFT JOIN (SELECT c_custkey, 'kept' AS c_name FROM customer WHERE c_custkey % 6 = 0) n USING (c_custkey) UNION ALL SELECT c_custkey + 10000000, c_name FROM customer WHERE c_custkey % 6 = 0")
+def store_upsert(spark, sf):
+    """Every sixth customer comes again under its key, with another name, and once more under a new key."""
+    store, k = opened_store(spark), F.col("c_custkey")
+    again = customer_rows(spark, sf).filter(k % 6 == 0)
+    with store.write() as tx:
+        tx.insert("customer", customer_rows(spark, sf))
+    with store.write() as tx:
+        tx.upsert("customer", again.withColumn("c_name", F.lit("kept")).unionByName(again.withColumn("c_custkey", k + 10_000_000)), ["c_name"])
+    store.close()
+    return store.snapshot().table("customer").select("c_custkey", "c_name")
+
+
+@registered("""SELECT true AS refused, count(*) AS kept FROM customer""")
+def insert_unique_local(spark, sf):
+    """An insert that repeats unique values is refused as a whole, and leaves the table as it was."""
+    from mergelake.operators.schema import EngineError
+
+    store, refused = opened_store(spark), False
+    with store.write() as tx:
+        tx.create_table("named", "id long, name string", ["id"], unique=(("name",),))
+        tx.insert("named", customer_rows(spark, sf).select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name")))
+    try:
+        with store.write() as tx:
+            tx.insert("named", customer_rows(spark, sf).select((-F.col("c_custkey") - 1).alias("id"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name")))
+    except EngineError:
+        refused = True
+    store.close()
+    return store.snapshot().table("named").agg(F.count("*").alias("kept")).withColumn("refused", F.lit(refused))
+
+
+@registered("""WITH open AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0)
+  SELECT '{"c_custkey":' || c_custkey || '}' AS pk, 'insert_not_null' AS status FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT '{"c_custkey":' || k || '}', 'insert_unique' FROM open WHERE k % 2 = 1 AND k - 1 IN (SELECT k FROM open)""")
+def constraint_cascade(spark, sf):
+    """Pairs of customers share a unique value; one that lacks its name doesn't keep the other out."""
+    spec = TableSpec.of("customer", "c_custkey long, c_name string, pair long", ["c_custkey"], required=("c_name",), unique=(("pair",),))
+    k = F.col("c_custkey")
+    cells = F.array(F.struct(F.lit("c_name").alias("column_name"), F.when(k % 5 != 0, codec.json_string(F.col("c_name"))).otherwise("null").alias("value")), F.struct(F.lit("pair").alias("column_name"), F.floor(k / 2).cast("string").alias("value")))
+    pk = F.concat(F.lit('{"c_custkey":'), k.cast("string"), F.lit("}"))
+    batch = table(spark, sf, "customer").select(F.lit("customer").alias("table_name"), pk.alias("row_pks"), F.explode(cells).alias("cell")).select("table_name", "row_pks", "cell.*", F.lit("9/9").alias("hlc_timestamp"), F.lit("d").alias("device_id"), F.lit(None).cast("string").alias("sig"), F.monotonically_increasing_id().alias("input_index"))
+    empty = spark.createDataFrame([], spec.schema)
+    staged = staging(spark)("winners", merge.staged_rows(merge.classify_table(batch, empty, spec, None)))
+    return merge.constraint_failures(staged, empty, spec)
+
+
 # Ordinary SQL over live state, guarded
 
 USER_SQL = {

@@ -9,6 +9,7 @@ meanwhile.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import json
 import os
 import re
@@ -82,6 +83,24 @@ def spec_from_json(x: dict) -> TableSpec:
     return TableSpec(x["name"], tuple(T.StructType.fromJson(x["schema"]).fields), tuple(x["pks"]), x["synced"], tuple(x["required"]), tuple(tuple(u) for u in x["unique"]), tuple(tuple(k) for k in x["foreign_keys"]))
 
 
+def migration_digest(body: str | Callable) -> str:
+    """Of a migration's text; of a callable's name, as its code isn't text."""
+    return hashlib.sha256((body if isinstance(body, str) else f"{body.__module__}.{body.__qualname__}").encode()).hexdigest()
+
+
+def journal_status(source: dict[str, str | Callable], journal: dict[str, str]) -> dict[str, str]:
+    """What became of each migration, in order of name: missing from the source, pending, changed since, or applied."""
+    out = {}
+    for name in sorted({*source, *journal}):
+        if name not in source:
+            out[name] = "missing"
+        elif name not in journal:
+            out[name] = "pending"
+        else:
+            out[name] = "applied" if journal[name] == migration_digest(source[name]) else "changed"
+    return out
+
+
 EMPTY = {"version": 0, "tables": {}, "specs": {}, "dirty": {}, "config": {}, "journals": {"core": {}, "consumer": {}}, "capture_version": CAPTURE_VERSION}
 
 
@@ -558,18 +577,12 @@ class Store:
         name, "schema": DDL, "pks": [...]} or {"add": column DDL, "to": name}. A journalled one whose text changed, or
         that is gone from the source, stops all.
         """
-        import hashlib
-
-        def digest(body) -> str:
-            return hashlib.sha256((body if isinstance(body, str) else f"{body.__module__}.{body.__qualname__}").encode()).hexdigest()
-
-        done = self._manifest()["journals"][journal]
-        if missing := sorted(set(done) - set(migrations)):
-            raise MigrationError(f"applied migrations are missing: {missing}")
-        if changed := sorted(n for n in done if done[n] != digest(migrations[n])):
-            raise MigrationError(f"applied migrations changed: {changed}")
+        status = journal_status(migrations, self._manifest()["journals"][journal])
+        for fault in ("missing", "changed"):
+            if names := [n for n, s in status.items() if s == fault]:
+                raise MigrationError(f"applied migrations {'are missing' if fault == 'missing' else fault}: {names}")
         applied = []
-        for name in sorted(set(migrations) - set(done)):
+        for name in [n for n, s in status.items() if s == "pending"]:
             base = self.snapshot()
             tx = Transaction(self, base)
             body = migrations[name]
@@ -579,7 +592,7 @@ class Store:
                         self._statement(tx, json.loads(statement))
             else:
                 body(tx)
-            journals = base.manifest["journals"] | {journal: base.manifest["journals"][journal] | {name: digest(body)}}
+            journals = base.manifest["journals"] | {journal: base.manifest["journals"][journal] | {name: migration_digest(body)}}
             self._commit({**base.manifest, "journals": journals}, tx.frames, tx.specs, tx.dirtied, tx.touched)
             applied.append(name)
         return applied
