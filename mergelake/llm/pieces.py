@@ -6,6 +6,10 @@ program keeps its shape, but its step is exact for BPE: the last piece of each p
 hashes of their substrings probe the sorted hashes of the pieces, longest first, and the vectorised pair test sets the
 backpointers. Units with several blanks in a row (whose pieces have equal scores) and very long ones are merged one by
 one.
+
+For a unigram model the step is the maximum itself: of all pieces that end at a place, the one with the best sum of
+scores, the longest of equals. Sums are taken within a unit, so on long texts the library's own rounding of ever larger
+sums isn't copied.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ NEVER = np.int64(1) << 40
 
 
 class Pieces:
-    """A sentencepiece BPE model as arrays."""
+    """A sentencepiece BPE or unigram model as arrays."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -40,8 +44,9 @@ class Pieces:
             model.ParseFromString(f.read())
         normalizer, trainer = model.normalizer_spec, model.trainer_spec
         plain = not normalizer.precompiled_charsmap and normalizer.add_dummy_prefix and normalizer.escape_whitespaces and not normalizer.remove_extra_whitespaces
-        if trainer.model_type != 2 or not trainer.byte_fallback or not plain or trainer.treat_whitespace_as_suffix:
-            raise ValueError("only BPE models with byte fallback and identity normalisation are supported")
+        if trainer.model_type not in (1, 2) or not trainer.byte_fallback or not plain or trainer.treat_whitespace_as_suffix or any(p.type == 4 for p in model.pieces):
+            raise ValueError("only BPE and unigram models with byte fallback, identity normalisation and no user-defined pieces are supported")
+        self.unigram = trainer.model_type == 1
         self.names = [p.piece for p in model.pieces]
         normal = [i for i, p in enumerate(model.pieces) if p.type == 1]
         self.ids = {self.names[i]: i for i in normal}
@@ -52,6 +57,8 @@ class Pieces:
         self.bytes = np.asarray([byte_ids[f"<0x{b:02X}>"] for b in range(256)], np.uint32)
         self.unknown = len(self.names)
         self._tables(normal)
+        if not self.unigram:
+            self._merge_tables(normal)
         # What each id decodes to; control pieces decode to nothing.
         said = [b""] * len(self.names)
         for i in normal:
@@ -63,10 +70,20 @@ class Pieces:
         self.said_begin = np.cumsum(self.said_length) - self.said_length
 
     def _tables(self, normal: list[int]) -> None:
+        self.width = max(len(self.names[i]) for i in normal)
+        hashes = np.asarray([self._hash(self.names[i]) for i in normal], np.uint64)
+        by_hash = np.argsort(hashes)
+        self.piece_hashes, self.piece_ids = hashes[by_hash], np.asarray(normal, np.int64)[by_hash]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("hashes of pieces collide")
+        self.piece_scores = np.asarray([self.score[self.names[i]] for i in self.piece_ids], np.float32)
+        #: What a code point without a piece costs: the library's penalty, below the least score.
+        self.unknown_score = self.piece_scores.min() - np.float32(10)
+
+    def _merge_tables(self, normal: list[int]) -> None:
         rank = np.full(self.unknown + 1, NEVER)
         order = sorted(normal, key=lambda i: (-self.score[self.names[i]], i))
         rank[order] = np.arange(len(order))
-        self.width = max(len(self.names[i]) for i in normal)
         pairs, parts = {}, {}
         for i in normal:
             name = self.names[i]
@@ -92,11 +109,6 @@ class Pieces:
                 spine[i, : len(own)] = own
                 merged[i, : len(own) - 1] = rank[own[1:]]
             self.edges.append((spine, merged))
-        hashes = np.asarray([self._hash(self.names[i]) for i in normal], np.uint64)
-        by_hash = np.argsort(hashes)
-        self.piece_hashes, self.piece_ids = hashes[by_hash], np.asarray(normal, np.int64)[by_hash]
-        if len(np.unique(hashes)) < len(hashes):
-            raise ValueError("hashes of pieces collide")
 
     @staticmethod
     def _hash(name: str) -> int:
@@ -161,23 +173,45 @@ class Pieces:
             open_ = open_[going]
         return good
 
-    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For units of equal length (rows of code points): pieces from the last to the first, and the number of each unit's."""
+    @staticmethod
+    def _prefixes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all prefixes, and the powers by which a substring's comes of two of them."""
         count, length = points.shape
         prefix = np.zeros((length + 1, count), np.uint64)
         for e in range(length):
             prefix[e + 1] = prefix[e] * FACTOR + points[:, e].astype(np.uint64) + np.uint64(1)
-        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(length, FACTOR))])
-        last = np.full((length + 1, count), self.unknown, np.int64)
-        size = np.ones((length + 1, count), np.int64)
+        return prefix, np.concatenate([[np.uint64(1)], np.cumprod(np.full(length, FACTOR))])
+
+    def _probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For hashes of substrings their places among the sorted pieces, and whether there is such a piece."""
+        at = np.minimum(np.searchsorted(self.piece_hashes, hashes), len(self.piece_hashes) - 1)
+        return at, self.piece_hashes[at] == hashes
+
+    def _by_score(self, points: np.ndarray, prefix: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers of a unigram model: last piece of each prefix's best segmentation, and its length."""
+        count, length = points.shape
+        last, size = np.full((length + 1, count), self.unknown, np.int64), np.ones((length + 1, count), np.int64)
+        best = np.zeros((length + 1, count), np.float32)
+        for e in range(1, length + 1):
+            best[e] = -np.inf
+            for n in range(min(self.width, e), 0, -1):
+                at, hit = self._probe(prefix[e] - prefix[e - n] * power[n])
+                total = best[e - n].astype(np.float64) + np.where(hit, self.piece_scores[at], self.unknown_score if n == 1 else -np.inf)
+                better = total > best[e]
+                last[e] = np.where(better, np.where(hit, self.piece_ids[at], self.unknown), last[e])
+                size[e], best[e] = np.where(better, n, size[e]), np.where(better, total, best[e])
+        return last, size
+
+    def _by_merges(self, points: np.ndarray, prefix: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers of a BPE model: the one last piece of each prefix that merging keeps apart from the rest, and its length."""
+        count, length = points.shape
+        last, size = np.full((length + 1, count), self.unknown, np.int64), np.ones((length + 1, count), np.int64)
         for e in range(1, length + 1):
             left = np.arange(count)
             for n in range(min(self.width, e), 0, -1):
                 if not len(left):
                     break
-                hashes = prefix[e, left] - prefix[e - n, left] * power[n]
-                at = np.minimum(np.searchsorted(self.piece_hashes, hashes), len(self.piece_hashes) - 1)
-                hit = self.piece_hashes[at] == hashes
+                at, hit = self._probe(prefix[e, left] - prefix[e - n, left] * power[n])
                 if not hit.any():
                     continue
                 rows, piece = left[hit], self.piece_ids[at[hit]]
@@ -186,6 +220,12 @@ class Pieces:
                 done = np.zeros(len(left), bool)
                 done[np.flatnonzero(hit)[good]] = True
                 left = left[~done]
+        return last, size
+
+    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For units of equal length (rows of code points): pieces from the last to the first, and the number of each unit's."""
+        count, length = points.shape
+        last, size = (self._by_score if self.unigram else self._by_merges)(points, *self._prefixes(points))
         taken = np.zeros((count, length), np.int64)
         number, at, rows = np.zeros(count, np.int64), np.full(count, length), np.arange(count)
         while len(rows):
@@ -200,7 +240,7 @@ class Pieces:
         by_length: dict[int, list[int]] = {}
         marked = [u.replace(" ", BLANK) for u in units]
         for k, u in enumerate(marked):
-            if len(u) > LONG or BLANK * 2 in u:
+            if not self.unigram and (len(u) > LONG or BLANK * 2 in u):
                 out[k] = np.asarray(self.one_by_one(u), np.uint32)
             else:
                 by_length.setdefault(len(u), []).append(k)
