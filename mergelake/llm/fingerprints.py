@@ -16,6 +16,8 @@ from mergelake.llm.units import balanced, release
 
 #: Code points of a k-mer and of its inner substrings; K is a multiple of S.
 K, S = 12, 4
+#: Texts of fewer code points keep too few such k-mers of an edit; theirs are of these sizes.
+SHORT_TEXT, SHORT_K, SHORT_S = 32, 4, 2
 #: Anchors in a fingerprint: those of the smallest hashes. A sketch of fixed size, as its purpose asks.
 ANCHORS = 32
 #: Matching anchors agree in place if their shifts differ by no more than that.
@@ -30,23 +32,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def syncmers(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the closed syncmers in an array of code points: k-mers whose smallest inner substring is the first or the last."""
-    if len(points) < K:
+    if len(points) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     x = points.astype(np.uint64)
-    inner = x[: len(x) - S + 1].copy()
-    for d in range(1, S):
-        inner = inner * np.uint64(0x9E3779B97F4A7C15) + x[d : len(x) - S + 1 + d]
+    inner = x[: len(x) - s + 1].copy()
+    for d in range(1, s):
+        inner = inner * np.uint64(0x9E3779B97F4A7C15) + x[d : len(x) - s + 1 + d]
     inner = _mix(inner)
-    width, reach, least = K - S + 1, 1, inner
+    width, reach, least = k - s + 1, 1, inner
     while reach < width:  # minimum over `reach` neighbours, doubled until it spans the k-mer
         step = min(reach, width - reach)
         least = np.minimum(least[:-step], least[step:])
         reach += step
     starts = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
     hashes = inner[starts]
-    for d in range(S, K, S):
+    for d in range(s, k, s):
         hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + inner[starts + d]
     return starts, _mix(hashes)
 
@@ -72,11 +74,19 @@ def fingerprints(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _block(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out: list = [None] * len(texts)
+    for k, s, own in ((K, S, [i for i, t in enumerate(texts) if len(t) >= SHORT_TEXT]), (SHORT_K, SHORT_S, [i for i, t in enumerate(texts) if len(t) < SHORT_TEXT])):
+        for i, anchors in zip(own, _anchors([texts[i] for i in own], k, s)):
+            out[i] = anchors
+    return out
+
+
+def _anchors(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.ndarray]]:
     lengths = np.asarray([len(t) for t in texts])
     ends = np.cumsum(lengths)
-    starts, hashes = syncmers(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"))
+    starts, hashes = syncmers(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), k, s)
     of = np.searchsorted(ends, starts, "right")
-    whole = starts + K <= ends[of] if len(starts) else np.zeros(0, bool)
+    whole = starts + k <= ends[of] if len(starts) else np.zeros(0, bool)
     starts, hashes, of = starts[whole], hashes[whole], of[whole]
     # The n-th occurrence of a k-mer in a text is an anchor of its own, so repeated passages weigh what they span.
     order = np.lexsort((starts, hashes, of))
@@ -95,9 +105,9 @@ def _block(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     starts, hashes, of = starts[order], hashes[order], of[order]
     edges, begins = np.searchsorted(of, np.arange(len(texts) + 1)), ends - lengths
     out = []
-    for k, text in enumerate(texts):
-        a, b = edges[k], min(edges[k + 1], edges[k] + ANCHORS)
-        out.append((hashes[a:b], (starts[a:b] - begins[k]).astype(np.uint32)) if a < b else _short(text))
+    for i, text in enumerate(texts):
+        a, b = edges[i], min(edges[i + 1], edges[i] + ANCHORS)
+        out.append((hashes[a:b], (starts[a:b] - begins[i]).astype(np.uint32)) if a < b else _short(text))
     return out
 
 
