@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = linked.select(F.col("m").alias("low"), "high").unionByName(linked.filter("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))).distinct()
         after = staged(small, "small-star")
         digest = [F.count("*"), F.sum(F.xxhash64("low", "high") % 1_000_003)]
-        if after.agg(*digest).first() == now.agg(*digest).first():
+        # Equal digests may hide a change; both are sets, so equal numbers and none missing decide.
+        if after.agg(*digest).first() == now.agg(*digest).first() and after.join(now, ["low", "high"], "left_anti").isEmpty():
             nodes = after.select(F.col("high").alias("node"), F.col("low").alias("component"))
             return staged(nodes.unionByName(after.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()), "components")
         now = after
