@@ -371,14 +371,11 @@ def test_fingerprints(spark, monkeypatch):
 
 
 def test_syncmers_by_definition():
-    from mergelake.llm.fingerprints import K, S, syncmers
+    from mergelake.llm.fingerprints import K, syncmers
 
     text = "".join(random.Random(3).choices("abcd ", k=400))
     points = np.asarray([ord(c) for c in text], np.uint32)
     starts, hashes = syncmers(points)
-    inner = {}
-    for k in range(len(text) - S + 1):
-        inner[text[k : k + S]] = None
     assert len({text[s : s + K] for s in starts}) == len(set(hashes.tolist()))
     assert 0.1 < len(starts) / len(text) < 0.5
     # Context-free: whether a k-mer is chosen depends on it alone.
@@ -388,7 +385,7 @@ def test_syncmers_by_definition():
 
 def test_syncmers_have_their_least_substring_at_an_edge():
     """The definition in plain Python, k-mer by k-mer."""
-    from mergelake.llm.fingerprints import K, S, syncmers
+    from mergelake.llm.fingerprints import K, S, SHORT_K, SHORT_S, syncmers
 
     word = 2**64 - 1
 
@@ -405,12 +402,29 @@ def test_syncmers_have_their_least_substring_at_an_edge():
 
     for seed, letters in ((1, "ab"), (2, "abcdefgh "), (3, "aé漢😀z ")):
         text = "".join(random.Random(seed).choices(letters, k=700))
-        want = []
-        for s in range(len(text) - K + 1):
-            inner = [value(text[s + j : s + j + S]) for j in range(K - S + 1)]
-            if min(inner) in (inner[0], inner[-1]):
-                want.append(s)
-        assert syncmers(np.asarray([ord(c) for c in text], np.uint32))[0].tolist() == want
+        for size, part in ((K, S), (SHORT_K, SHORT_S)):
+            want = []
+            for s in range(len(text) - size + 1):
+                inner = [value(text[s + j : s + j + part]) for j in range(size - part + 1)]
+                if min(inner) in (inner[0], inner[-1]):
+                    want.append(s)
+            assert syncmers(np.asarray([ord(c) for c in text], np.uint32), size, part)[0].tolist() == want
+
+
+def test_fingerprints_of_short_texts():
+    """A text and the same with its last third replaced share anchors from seven code points on, and unrelated texts few."""
+    from mergelake.llm.fingerprints import SHORT_TEXT, fingerprints, likeness
+
+    rng, near, far = random.Random(6), [], []
+    for n in range(7, 2 * SHORT_TEXT):
+        for _ in range(20):
+            text, other = ("".join(rng.choices("abcdefghijklmnop ", k=n)) for _ in range(2))
+            a, b, c = fingerprints([text, text[: n - n // 3] + other[: n // 3], other])
+            near.append((n, likeness(a, b)))
+            far.append(likeness(a, c))
+    assert all(x > 0 for n, x in near if 12 <= n < SHORT_TEXT) and np.mean([x for _, x in near]) > 0.4 and np.mean(far) < 0.05
+    whole = fingerprints(["abc", "abc", "abd", ""])
+    assert likeness(whole[0], whole[1]) == 1 and likeness(whole[0], whole[2]) == 0 == likeness(whole[0], whole[3])
 
 
 def test_likeness_by_definition():
@@ -509,6 +523,43 @@ def test_sentencepiece(spark):
     assert encode_and_decode(empty(spark), path).count() == 0
 
 
+def unigram_model(path, rng):
+    """A model made by rule, not trained: pieces of a small alphabet with scores in eighths, so that sums are exact and ties occur."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, letters = pb.ModelProto(), "abcdeé日"
+    names = {"▁", ".", ",", *letters}
+    while len(names) < 150:
+        names.add(rng.choice(["▁", ""]) + "".join(rng.choices(letters, k=rng.randint(1, 5))))
+    names.discard("e")  # a letter that only longer pieces hold
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    for name, score, kind in [*pieces, *((n, -rng.randint(8, 80) / 8, 1) for n in sorted(names))]:
+        model.pieces.add(piece=name, score=score, type=kind)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = 1, True, len(model.pieces)
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix = "identity", True
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = False, True
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sentencepiece_unigram(tmp_path, seed):
+    import sentencepiece
+
+    from mergelake.llm.pieces import PieceEncoder
+
+    rng = random.Random(seed)
+    path = unigram_model(tmp_path / "unigram.model", rng)
+    own, library = PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choices("aabbccddeé日  .,x\n😀", k=rng.randint(0, 40))) for _ in range(2000)] + ["abcde" * 60, None, "", " ", "x" * 100]
+    got, decoded = [], []
+    for ids, bounds in own.encode(pa.array(texts)):
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        decoded += own.pieces.decode(ids, bounds)
+    assert got == library.encode([said(t) for t in texts])
+    assert decoded == [said(t) for t in texts]
+
+
 def test_components(spark):
     from mergelake.llm.components import components
 
