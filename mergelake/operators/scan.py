@@ -6,6 +6,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from mergelake.sources.staging import staging
 PAGE_BYTES = 104_857_600
 #: Keys of an allow-list that go as literals into the filter; more are joined.
 LITERAL_KEYS = 200
+#: Steps of page cutting (three numbers each) that the driver holds at once.
+STEPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -157,23 +161,104 @@ def page_groups(sizes: DataFrame, budget: int = PAGE_BYTES) -> DataFrame:
     return sums.filter((F.col("total") <= budget) | first).withColumn("has_more", F.lit(more)).drop("part", "base")
 
 
-def pages(changes: DataFrame, budget: int = PAGE_BYTES, hlc: str = "hlc_timestamp", record=None) -> DataFrame:
-    """All pages of a feed: changes with a page number. Transaction sizes stream through the driver; marks of pages (one row each) come back."""
-    ends, spent = [], None
-    for r in group_sizes(changes, hlc, record).orderBy("key", "hlc").toLocalIterator():
-        if spent is None or spent + r["bytes"] > budget:
-            ends.append((r["key"] + r["hlc"], len(ends)))
-            spent = 0
-        spent += r["bytes"]
-    if not ends:
-        return changes.withColumn("page", F.lit(0))
-    # The number of page starts at or before a record's place, by halves: as few comparisons as the logarithm of the pages.
-    own = F.concat(hlc_key(hlc), F.col(hlc))
+def _steps(budget: int):
+    """Over transactions (part, bytes) in order: rows (part, below, pages, spent) that tell what a range makes of the room
+    left in the page that is open before it. With less room than `below` (the least such row holds) it begins so many pages,
+    the last of which has spent so much at its end; with more room than any row has, all of it joins the open page."""
+
+    def of_range(part: int, sizes: np.ndarray) -> pa.RecordBatch:
+        count = len(sizes)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(count)
+        follows = np.maximum(np.searchsorted(edges[1:], edges[:-1] + budget, "right"), place + 1)
+        last, pages = np.where(follows < count, follows, place), np.ones(count, np.int64) + (follows < count)
+        while (further := last[last] != last).any():  # by doubling
+            pages += np.where(further, pages[last] - 1, 0)
+            last = last[last]
+        entries = min(int(np.searchsorted(edges[1:], budget, "right")), count - 1) + 1  # places where the first page may begin
+        last, pages = last[:entries], pages[:entries]
+        ends = np.flatnonzero(np.append((last[1:] != last[:-1]) | (pages[1:] != pages[:-1]), True))
+        columns = [np.full(len(ends), part, np.int32), edges[ends + 1], pages[ends], edges[-1] - edges[last[ends]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "below", "pages", "spent"])
+
+    def steps(batches):
+        part, held = None, []
+        for batch in batches:
+            parts, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            for own, some in zip(np.split(parts, cuts), np.split(sizes, cuts)):
+                if len(own) and own[0] != part:
+                    if held:
+                        yield of_range(part, np.concatenate(held))
+                    part, held = int(own[0]), []
+                held.append(some.copy())
+        if held:
+            yield of_range(part, np.concatenate(held))
+
+    return steps
+
+
+def _open_pages(steps: DataFrame, parts: list, budget: int) -> dict[int, tuple[int, int]]:
+    """For each range the bytes and the number of the page that is open before it (before the first: a full one, -1).
+
+    Few steps come to the driver at once: those of several ranges together, or of a longer range the one that applies."""
+    counts = {r["part"]: r["count"] for r in steps.groupBy("part").count().collect()}
+    order, known = [part["part"] for part in parts], {}
+    found, spent, page = {}, budget + 1, -1
+    for k, part in enumerate(parts):
+        at, room = part["part"], budget - spent
+        found[at] = (spent, page)
+        if counts[at] > STEPS:
+            most = [steps.filter((F.col("part") == at) & (F.col("below") > room)).agg(F.min(F.struct("below", "pages", "spent")).alias("s")).first()["s"]]
+            rows = [r for r in most if r is not None]
+        else:
+            if at not in known:
+                known, total = {}, 0
+                for p in order[k:]:
+                    if (total := total + counts[p]) > STEPS:
+                        break
+                    known[p] = []
+                for r in steps.filter(F.col("part").between(at, max(known))).collect():
+                    known[r["part"]].append(r)
+            rows = [r for r in known[at] if r["below"] > room]
+        if rows:
+            step = min(rows, key=lambda r: r["below"])
+            page, spent = page + step["pages"], step["spent"]
+        else:
+            spent += part["bytes"]
+    return found
 
-    def page(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high + 1) // 2
-        return F.when(own >= ends[mid][0], page(mid, high)).otherwise(page(low, mid - 1))
 
-    return changes.withColumn("page", page(0, len(ends) - 1))
+def pages(changes: DataFrame, budget: int = PAGE_BYTES, hlc: str = "hlc_timestamp", record=None) -> DataFrame:
+    """All pages of a feed: changes with a page number.
+
+    A page's end depends on all pages before it. So each range of transactions first tells, for every place where its
+    first page may begin, how many pages it begins and what the last one has spent; the driver follows these from range
+    to range, and then each range numbers its own transactions, which the changes are joined with. The driver holds a row
+    for each range and STEPS steps, however many transactions and pages there are.
+    """
+    dealt, parts = _dealt(group_sizes(changes, hlc, record))
+    if not parts:
+        return changes.withColumn("page", F.lit(0))
+    # Empty ranges have no row; whole ranges, in order, to a task.
+    ordered = dealt.repartition(len(parts), "part").sortWithinPartitions("part", "key", "hlc")
+    stage = staging(changes.sparkSession)
+    before = _open_pages(stage("page-steps", ordered.select("part", "bytes").mapInArrow(_steps(budget), "part int, below long, pages long, spent long")), parts, budget)
+
+    def numbered(batches):
+        own = None
+        for batch in batches:
+            out = []
+            for part, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != own:
+                    own, (spent, page) = part, before[part]
+                if spent + size > budget:
+                    spent, page = 0, page + 1
+                spent += size
+                out.append(page)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.int32())], ["__hlc", "__page"])
+
+    # A merge join, so no table of transactions goes through the driver.
+    marks = stage("page-marks", ordered.select("part", "bytes", "hlc").mapInArrow(numbered, "__hlc string, __page int"))
+    joined = changes.join(marks.hint("merge"), F.col(hlc).eqNullSafe(F.col("__hlc")))
+    return joined.withColumn("page", F.col("__page")).drop("__hlc", "__page")

@@ -253,6 +253,27 @@ def test_pages_keep_transactions_whole(spark, budget):
     assert scan.first_page(changes.limit(0), budget, record=F.col("body"))[1] is False
 
 
+@pytest.mark.parametrize("budget, steps", [(0, 100_000), (150, 3), (150, 0), (700, 100_000), (3000, 3), (10**6, 0)])
+@pytest.mark.parametrize("sizes", ["equal", "mixed"])
+def test_many_pages_are_cut_outside_the_driver(spark, monkeypatch, budget, steps, sizes):
+    monkeypatch.setattr(scan, "STEPS", steps)
+    rng = random.Random(budget)
+    bodies = {f"{t}/{n}": "x" * (20 if sizes == "equal" else rng.choice([1, 5, 30, 200])) for t in range(700) for n in "2a"}
+    changes = spark.createDataFrame([*bodies.items(), (None, "x")], "hlc_timestamp string, body string")
+    paged = scan.pages(changes, budget, record=F.col("body"))
+    want, spent, page = {None: 0}, 3, 0  # a missing clock is the oldest
+    for h, body in bodies.items():
+        if spent + len(body) + 2 > budget:
+            spent, page = 0, page + 1
+        spent += len(body) + 2
+        want[h] = page
+    assert {r.hlc_timestamp: r.page for r in paged.collect()} == want
+    # The plan holds no page.
+    few = scan.pages(changes.limit(3), budget, record=F.col("body"))
+    length = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert length(paged) < length(few) + 2000
+
+
 @pytest.mark.parametrize("times, more", [([1], False), ([1, 2], True), (range(1, 9), True)])
 def test_page_of_one_oversized_transaction(spark, times, more):
     changes = spark.createDataFrame([(f"{t}/a", "x" * (500 if t == 1 else 5)) for t in times], "hlc_timestamp string, body string")
