@@ -344,6 +344,25 @@ def test_sharding(spark):
     assert len(loads) == 16 and sorted(loads.values())[-2] < 1.3 * 200_000 / 15
 
 
+def test_sharding_runs_as_many_jobs_over_any_number_of_partitions(spark):
+    from mergelake.llm.sharding import minimax_shards
+
+    docs, jobs, conf = frame(spark, [(k, f"text {k}") for k in range(400)]), {}, {"spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for partitions in ("2", "24"):
+            for k, v in (conf | {"spark.sql.shuffle.partitions": partitions}).items():
+                spark.conf.set(k, v)
+            spark.sparkContext.setJobGroup(f"shards-{partitions}", "")
+            assert minimax_shards(docs).count() == 400
+            jobs[partitions] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shards-{partitions}"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["24"] <= jobs["2"] + 5
+
+
 def test_fingerprints(spark, monkeypatch):
     from mergelake.llm import fingerprints as fp
 
